@@ -41,7 +41,7 @@ def test_written_shards_hold_whole_rows(spark, tmp_path):
     assert back.count() == 30 and {"doc_id", "text", "slot_", "slot", "shard_no"} == set(back.columns)
 
 
-NASTY = ["", None, "<|end|>", "<", "|end|>", "\\", "\;", "\\\\<", "a\;b<|says|>", "</s>[INST] ok [/INST]", "<|turn|>user", "x" * 30_000 + "<", "ünï <<SYS>>"]
+NASTY = ["", None, "<|end|>", "<", "|end|>", "\\", "\\;", "\\\\<", "a\\;b<|says|>", "</s>[INST] ok [/INST]", "<|turn|>user", "x" * 30_000 + "<", "ünï <<SYS>>"]
 
 
 def test_chat_round_trip(spark):
@@ -61,7 +61,7 @@ def test_typed_parts(spark):
     assert row.n_turns == 3
     assert [(a.number, a.type, a.ref, a.tokens) for a in row.attachments] == [(3, "image", "s3://a.png", 512), (4, "document", "d.pdf", 1800), (6, "audio", "v.wav", 25), (7, "hologram", "h", 4)]
     assert row.expanded_tokens == 512 + 1800 + 25 + 4
-    assert row.formatted.startswith("<|turn|>user<|says|>see <\;|end|> <|image:3|><|document:4|>then<|audio:6|><|hologram:7|><|end|>")
+    assert row.formatted.startswith("<|turn|>user<|says|>see <\\;|end|> <|image:3|><|document:4|>then<|audio:6|><|hologram:7|><|end|>")
 
 
 def test_chat_of_nothing(spark):

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, pii, sharding, simhash, topk
+from . import chat, pii, sharding, simhash, topk, toxicity
+from .common import held_out
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +27,13 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(~held_out("doc_id", 3, 1)))
+    rows = toxicity.score(docs, model, [F.col("doc_id"), held_out("doc_id", 3, 1).alias("held_out")], F.col("text"))
+    return rows.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.sql(f"SELECT * FROM VALUES (-1L, 0L, 'user', '{said}'), (-1L, 1L, 'assistant', '{said}') AS t(conv_id, turn, role, text)")
@@ -53,6 +61,7 @@ QUERIES = {
     "op1_pii": op1_pii,
     "op2_sharding": op2_sharding,
     "op3_simhash": op3_simhash,
+    "op5_toxicity": op5_toxicity,
     "op6_chat_formatting": op6_chat_formatting,
     "op10_topk": op10_topk,
 }

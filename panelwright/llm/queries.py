@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, pii, sharding, simhash, topk, toxicity
+from . import chat, decontaminate, pii, sharding, simhash, topk, toxicity
 from .common import held_out
 
 
@@ -52,6 +52,10 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), [F.col("doc_id")], F.col("text"))
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "embeddings").select("vec_id", topk.quantized(F.col("embedding")).alias("vec"))
     return topk.top_k(rows, rows.where("vec_id % 20 = 0"), 20)
@@ -63,6 +67,7 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op5_toxicity": op5_toxicity,
     "op6_chat_formatting": op6_chat_formatting,
+    "op7_decontamination": op7_decontamination,
     "op10_topk": op10_topk,
 }
 

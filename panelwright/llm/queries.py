@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, pii, sharding, simhash, topk, toxicity
+from . import chat, decontaminate, pii, quality, sharding, simhash, topk, toxicity
 from .common import held_out
 
 
@@ -56,6 +56,14 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), [F.col("doc_id")], F.col("text"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    graded = labels.where(~held_out("doc_id", 3, 1)).select("doc_id", quality.grade_of(F.col("quality"), F.col("toxic")).alias("grade"))
+    rows = quality.score(docs, quality.fit(docs, graded), [F.col("doc_id"), held_out("doc_id", 3, 1).alias("held_out")], F.col("text"))
+    good = F.col("tails")[0]
+    return rows.select("doc_id", "held_out", good.alias("score"), (good >= 0.5).cast("int").alias("predicted"), F.col("tails")[1].alias("top_tail"), "expected_grade")
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "embeddings").select("vec_id", topk.quantized(F.col("embedding")).alias("vec"))
     return topk.top_k(rows, rows.where("vec_id % 20 = 0"), 20)
@@ -68,6 +76,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_decontamination": op7_decontamination,
+    "op8_quality": op8_quality,
     "op10_topk": op10_topk,
 }
 

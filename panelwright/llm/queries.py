@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, pii, quality, sharding, simhash, topk, toxicity
+from . import chat, decontaminate, pieces, pii, quality, sharding, simhash, topk, toxicity
 from .common import held_out
 
 
@@ -27,6 +27,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(_table(spark, sf_dir, "documents"), [F.col("doc_id")], F.col("text"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.where(~held_out("doc_id", 3, 1)))
@@ -73,6 +77,7 @@ QUERIES = {
     "op1_pii": op1_pii,
     "op2_sharding": op2_sharding,
     "op3_simhash": op3_simhash,
+    "op4_pieces": op4_pieces,
     "op5_toxicity": op5_toxicity,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_decontamination": op7_decontamination,

@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,3 +54,15 @@ def held_out(id_col: str, modulus: int, remainder: int):
     """True where crc32 of the id as text has that remainder; null ids count as ''."""
     digest = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
     return (digest % F.lit(modulus)) == F.lit(remainder)
+
+
+def kept_where(docs: DataFrame, text_col: str, make: Callable[[], Callable[[list[str]], list[bool]]]) -> DataFrame:
+    """The rows whose text (null: empty) the predicate keeps, all columns as they are; make() builds it once per task."""
+    place = docs.columns.index(text_col)
+
+    def keep(batches):
+        test = make()
+        for batch in batches:
+            yield batch.filter(pa.array(test([t or "" for t in batch.column(place).to_pylist()]), pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import kept_where
+
 GRAM, MIN_WORDS, COVERAGE, BLOCK_ITEMS = 3, 5, 0.8, 20_000
 #: Alignment scores of an equal word, a word with the same beginning, another word, a gap.
 EQUAL, ALIKE, UNEQUAL, GAP = 4, 1, -2, 2
@@ -167,6 +169,19 @@ def _frequencies(texts: DataFrame, items: Items) -> dict[int, int]:
     return {r["code"]: r["n"] for r in rows.collect()}  # at most the block's n-grams
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The documents that no item of the benchmark covers, with all their columns; see contamination()."""
+    out = docs
+    for items in _blocks(benchmark, item_col, item_text):
+        items.choose_seeds(_frequencies(docs.select(text_col), items))
+
+        def make(items=items):
+            return lambda texts: [all(f[0] < COVERAGE for f in items.matches(words_of(t))) for t in texts]
+
+        out = kept_where(out, text_col, make)
+    return out
+
+
 FOUND = "item_id long, coverage double, score long, first_word long, end_word long, n_items long"
 
 

@@ -260,3 +260,28 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types)], names)
 
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(score, SCHEMA + (", redacted string" if with_redacted else ""))
+
+
+def without_pii(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
+    """The same rows and columns with every selected span redacted, and the count of characters brought up to date.
+
+    A null text stays null; a column of counts that is not there is not made.
+    """
+    model = trained()
+    place = docs.columns.index(text_col)
+    chars = docs.columns.index(chars_col) if chars_col in docs.columns else None
+
+    def redact(batches):
+        for batch in batches:
+            texts = batch.column(place).to_pylist()
+            base = [base_spans(t or "") for t in texts]
+            more = model.added([t or "" for t in texts], base)
+            texts = [t if t is None else redacted(t, b + m) for t, b, m in zip(texts, base, more)]
+            columns = batch.columns
+            columns[place] = pa.array(texts, batch.schema.field(place).type)
+            if chars is not None:
+                own = batch.column(chars).to_pylist()
+                columns[chars] = pa.array([n if t is None else len(t) for t, n in zip(texts, own)], batch.schema.field(chars).type)
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return docs.mapInArrow(redact, docs.schema)

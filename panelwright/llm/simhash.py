@@ -140,3 +140,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = prints.join(named, "fp")
     same = (F.col("row_no") == F.col("kept.row_no")) if row_col else (F.col("doc_id").eqNullSafe(F.col("kept.doc_id")))
     return out.select("doc_id", *(["row_no"] if row_col else []), "fp", F.col("kept.doc_id").alias("component_id"), same.alias("keeper"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each component the document with the least id, with all its columns; of repeated rows the first stays.
+
+    Rows are told apart by their place in the scan, so ``docs`` must be a
+    table that reads the same way twice (as a written one does).
+    """
+    row = "row_no_of_this_scan"
+    rows = docs.withColumn(row, F.monotonically_increasing_id())
+    gone = cut(near_duplicates(rows, id_col, text_col, row).where(~F.col("keeper")).select(F.col("row_no").alias(row)))
+    return rows.join(gone, row, "left_anti").drop(row)

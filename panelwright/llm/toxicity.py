@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import kept_where, written
 
 FIT_ROWS, MAX_PATTERNS, MIN_SUPPORT, MIN_SHARE, MIN_LOG_ODDS = 12_000, 2_000, 6, 0.01, 2.0
 PREFIXES = (6, 5, 4)
@@ -234,3 +234,13 @@ def score(docs: DataFrame, model: Model, keys: list[Column], text: Column) -> Da
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), pa.array(values, pa.float64())], [*names, "score"])
 
     return rows.mapInArrow(scored, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", score double")
+
+
+def clean(docs: DataFrame, model: Model, text_col: str = "text", limit: float = 0.7) -> DataFrame:
+    """The documents whose score stays below the limit, with all their columns; null texts count as empty."""
+
+    def make():
+        lexicon = Lexicon(model.patterns)
+        return lambda texts: (model.scores(lexicon, texts) < limit).tolist()
+
+    return kept_where(docs, text_col, make)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, pieces, pii, quality, sharding, simhash, topk, toxicity
+from . import chat, decontaminate, lm, pieces, pii, quality, sharding, simhash, topk, toxicity
 from .common import held_out
 
 
@@ -68,6 +68,12 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "held_out", good.alias("score"), (good >= 0.5).cast("int").alias("predicted"), F.col("tails")[1].alias("top_tail"), "expected_grade")
 
 
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = _table(spark, sf_dir, "documents"), held_out("doc_id", 10, 0)
+    model, words = lm.fit(docs.where(~held).select("text"))
+    return lm.score(docs, model, words, [F.col("doc_id"), held.alias("held_out")], F.col("text"))
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "embeddings").select("vec_id", topk.quantized(F.col("embedding")).alias("vec"))
     return topk.top_k(rows, rows.where("vec_id % 20 = 0"), 20)
@@ -82,6 +88,7 @@ QUERIES = {
     "op6_chat_formatting": op6_chat_formatting,
     "op7_decontamination": op7_decontamination,
     "op8_quality": op8_quality,
+    "op9_lm": op9_lm,
     "op10_topk": op10_topk,
 }
 

@@ -1,10 +1,11 @@
 """SentencePiece encoding by suffix-array matching, and exact decoding.
 
-The texts of a batch are cut before each run of spaces (no piece holds a
-space after another character, so no piece crosses such a cut; the loader
-checks it). The distinct stretches are concatenated and indexed by a suffix
-array as deep as the longest piece. Every piece is looked up in it by binary
-search: its occurrences are one range. The ranges, sorted by position, are the
+The texts of a batch are cut before each run of spaces and around line ends
+(no piece holds a space after another character or a line end, so no piece
+crosses such a cut; the loader checks it). The distinct stretches are concatenated and indexed by a suffix
+array, sorted as deep as one 64-bit key reaches. Every piece is looked up in it by binary
+search: its occurrences are one range (a piece longer than
+the key is compared further within its range). The ranges, sorted by position, are the
 edges of a lattice, which is relaxed from left to right.
 
 The vocabulary is of the BPE kind: its encoding is the result of merges, not
@@ -30,8 +31,9 @@ from pyspark.sql import functions as F
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters in one suffix array; stretches and pairs remembered by a worker; the longest stretch relaxed in step with others.
-INDEXED, REMEMBERED, TOGETHER = 1 << 20, 600_000, 48
-_STRETCH = re.compile(r" *[^ ]+| +")
+INDEXED, REMEMBERED, TOGETHER = 1 << 18, 250_000, 48
+ROWS = 1000  # texts cut and indexed at a time
+_STRETCH, _LINE_STRETCH = re.compile(r" *[^ ]+| +"), re.compile(r" *[^ \n]+| +|\n")
 
 
 class Vocabulary:
@@ -62,6 +64,8 @@ class Vocabulary:
         #: Pieces that are their own encoding; no other can be in one.
         self.pieces = sorted(whole, key=lambda p: self.id_of[p])
         self.text_of = {self.id_of[p]: p for p in self.pieces}
+        #: Where no piece holds a line end, nothing merges across one.
+        self.stretch = _STRETCH if any("\n" in p for p in self.id_of) else _LINE_STRETCH
         self.single = {p for p in self.pieces if len(p) == 1}
 
     def merged(self, text: str) -> list[str]:
@@ -83,72 +87,65 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.follows: dict[tuple[int, int], bool] = {}
         self.tags, self.answers = np.full(1 << 20, -1, np.int64), np.zeros(1 << 20, bool)
         self.whole = frozenset(vocabulary.pieces)
-        self.longest = max(map(len, vocabulary.pieces))
+        self.sizes = np.array([len(p) for p in vocabulary.pieces])
+        self.longest = int(self.sizes.max())
+        self.ids = np.array([vocabulary.id_of[p] for p in vocabulary.pieces])
+        self.spelled = np.zeros((len(self.sizes), self.longest), np.int64)
+        for row, piece in zip(self.spelled, vocabulary.pieces):
+            row[: len(piece)] = [ord(c) for c in piece]
 
     # The lattice -----------------------------------------------------------------
 
     def edges(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, end, piece id) of every occurrence of every piece, by start, then end; 0 separates stretches."""
-        alphabet, codes = np.unique(symbols, return_inverse=True)
-        width = max(1, int(len(alphabet)).bit_length())
-        per_key = 64 // width
-        n_keys = -(-self.longest // per_key)
-        padded = np.concatenate([codes.astype(np.uint64) + np.uint64(1), np.zeros(n_keys * per_key, np.uint64)])
-        keys = []
-        for k in range(n_keys):
-            key = np.zeros(len(codes), np.uint64)
-            for c in range(per_key):
-                key = (key << np.uint64(width)) | padded[k * per_key + c : k * per_key + c + len(codes)]
-            keys.append(key)
-        order = np.argsort(keys[0], kind="stable") if n_keys == 1 else np.lexsort(keys[::-1])
-        keys = [key[order] for key in keys]
-        code_of = {chr(s): k + 1 for k, s in enumerate(alphabet.tolist()) if s}
-        low, high, ids, sizes, long = [], [], [], [], []
-        for piece in self.v.pieces:
-            try:
-                spelled = [code_of[c] for c in piece]
-            except KeyError:
-                continue
-            n, lo = len(spelled), 0
-            for c in spelled[:per_key]:
-                lo = lo << width | c
-            rest = per_key - min(n, per_key)
-            low.append(lo << width * rest)
-            high.append(lo << width * rest | ((1 << width * rest) - 1))
-            ids.append(self.v.id_of[piece])
-            sizes.append(n)
-            long.append(spelled[per_key:])
-        if not ids:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        first = np.searchsorted(keys[0], np.array(low, np.uint64), "left")
-        last = np.searchsorted(keys[0], np.array(high, np.uint64), "right")
-        for at in np.flatnonzero((last > first) & np.array([bool(x) for x in long])):
-            lo, hi, spelled, k = int(first[at]), int(last[at]), long[at], 1
-            while spelled and hi > lo:
-                value = 0
-                for c in spelled[:per_key]:
-                    value = value << width | c
-                rest = width * (per_key - min(len(spelled), per_key))
-                part = keys[k][lo:hi]
-                lo, hi = lo + int(np.searchsorted(part, np.uint64(value << rest), "left")), lo + int(np.searchsorted(part, np.uint64(value << rest | ((1 << rest) - 1)), "right"))
-                spelled, k = spelled[per_key:], k + 1
-            first[at], last[at] = lo, hi
-        count = np.maximum(last - first, 0)
-        total = int(count.sum())
-        inside = np.arange(total) - np.repeat(np.cumsum(count) - count, count)
+        present = np.zeros(int(symbols.max()) + 2, bool)
+        present[symbols] = True
+        code_of = np.cumsum(present).astype(np.uint64)  # 1, 2, ... in the order of the code points
+        width = int(code_of[-1]).bit_length()
+        depth = min(64 // width, self.longest)
+        codes = np.concatenate([code_of[symbols], np.zeros(self.longest, np.uint64)])
+        n = len(symbols)
+        key = np.zeros(n, np.uint64)
+        for c in range(depth):
+            key = key << np.uint64(width) | codes[c : c + n]
+        order = np.argsort(key)
+        key = key[order]
+        # The pieces as keys: those with a character that is not here have no occurrence.
+        spelled, sizes = self.spelled, self.sizes
+        here = np.where(spelled < len(present), present[np.minimum(spelled, len(present) - 1)], False) | (spelled == 0)
+        some = np.flatnonzero(here.all(1))
+        spelled, sizes = code_of[np.minimum(spelled[some], len(present) - 1)] * (spelled[some] > 0), sizes[some]
+        low, rest = np.zeros(len(some), np.uint64), np.maximum(depth - sizes, 0).astype(np.uint64) * np.uint64(width)
+        for c in range(depth):
+            low = low << np.uint64(width) | spelled[:, c]
+        first = np.searchsorted(key, low, "left")
+        last = np.searchsorted(key, low | (np.uint64(1) << rest) - np.uint64(1), "right")
+        count = last - first
+        inside = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
         start = order[np.repeat(first, count) + inside]
-        packed = np.sort((start << 24) | np.repeat(np.array(sizes) << 18 | np.array(ids), count))
-        start = packed >> 24
-        return start, start + (packed >> 18 & 63), packed & (1 << 18) - 1
+        size, ids = np.repeat(sizes, count), np.repeat(self.ids[some], count)
+        if depth < self.longest:  # beyond the key's depth a long piece is compared within its range
+            deep = np.flatnonzero(size > depth)
+            which = np.repeat(np.arange(len(some)), count)[deep]
+            equal = np.ones(len(deep), bool)
+            for c in range(depth, self.longest):
+                equal &= (spelled[which, c] == 0) | (codes[start[deep] + c] == spelled[which, c])
+            keep = np.ones(len(start), bool)
+            keep[deep[~equal]] = False
+            start, size, ids = start[keep], size[keep], ids[keep]
+        packed = np.sort((start << 24) | (size << 18) | ids)
+        start = (packed >> 24).astype(np.int32)
+        return start, start + (packed >> 18 & 63).astype(np.int32), (packed & (1 << 18) - 1).astype(np.int32)
 
     def may_follow(self, a: int, b: int) -> bool:
         """Whether the joint text of pieces a and b is encoded as just a and b."""
         found = self.follows.get((a, b))
         if found is None:
-            if len(self.follows) > REMEMBERED:
+            if len(self.follows) > 4 * REMEMBERED:
                 self.follows.clear()
             x, y = self.v.text_of[a], self.v.text_of[b]
             found = self.follows[a, b] = (x + y) not in self.whole and self.v.merged(x + y) == [x, y]
@@ -156,7 +153,7 @@ class Encoder:
 
     def all_may_follow(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """may_follow for arrays, through a table that keeps the last answer for each place."""
-        code = a << 18 | b
+        code = a.astype(np.int64) << 18 | b
         place = (code * np.int64(0x2545F4914F6CDD1D)) >> 43 & (len(self.tags) - 1)
         miss = self.tags[place] != code
         if miss.any():
@@ -192,7 +189,7 @@ class Encoder:
         by_step = np.argsort(step, kind="stable")
         start, end, piece = start[by_step], end[by_step], piece[by_step]
         bounds = np.searchsorted(step[by_step], np.arange(int(sizes.max()) + 1))
-        last, back = np.zeros(len(symbols) + 1, np.int64), np.zeros(len(symbols) + 1, np.int64)
+        last, back = np.zeros(len(symbols) + 1, np.int32), np.zeros(len(symbols) + 1, np.int32)
         for k, (lo, hi) in enumerate(zip(bounds, [*bounds[1:], len(start)])):
             s, e, p = start[lo:hi], end[lo:hi], piece[lo:hi]
             if k:
@@ -245,12 +242,15 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Per text its ids as 32-bit integers; an empty text has none."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known, cut = self.known, [_STRETCH.findall(" " + t) if t else [] for t in texts]
+        if len(self.known) > REMEMBERED:  # two generations: what was used lately stays
+            self.older, self.known = self.known, {}
+        known, cut = self.known, [self.v.stretch.findall(" " + t) if t else [] for t in texts]
         new = {s for parts in cut for s in parts if s not in known}
         batch, held = [], 0
         for s in new:
+            if s in self.older:
+                known[s] = self.older[s]
+                continue
             batch.append(s)
             held += len(s) + 1
             if held > INDEXED:
@@ -292,7 +292,7 @@ def encode(docs: DataFrame, keys: list[Column], text: Column, model_path: str =
         encoder = _encoder(vocabulary)
         for batch in batches:
             texts = batch.column(len(names)).to_pylist()
-            codes = encoder.encode([t or "" for t in texts])
+            codes = [c for at in range(0, len(texts), ROWS) for c in encoder.encode([t or "" for t in texts[at : at + ROWS]])]
             sizes = np.array([len(c) // 4 for c in codes], np.int32)
             missing = np.array([t is None for t in texts], bool)
             same = [encoder.decode(np.frombuffer(c, np.int32).tolist()) == (t or "") for c, t in zip(codes, texts)]

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -56,13 +58,30 @@ def held_out(id_col: str, modulus: int, remainder: int):
     return (digest % F.lit(modulus)) == F.lit(remainder)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so many rows, so that Python objects of few texts are alive at a time.
+
+    Spark keeps Python workers for later tasks; at the end what they hold
+    without using it goes back to the system.
+    """
+    for batch in batches:
+        for at in range(0, max(batch.num_rows, 1), rows):
+            yield batch.slice(at, rows)
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def kept_where(docs: DataFrame, text_col: str, make: Callable[[], Callable[[list[str]], list[bool]]]) -> DataFrame:
     """The rows whose text (null: empty) the predicate keeps, all columns as they are; make() builds it once per task."""
     place = docs.columns.index(text_col)
 
     def keep(batches):
         test = make()
-        for batch in batches:
+        for batch in sliced(batches):
             yield batch.filter(pa.array(test([t or "" for t in batch.column(place).to_pylist()]), pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

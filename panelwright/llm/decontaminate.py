@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept_where
+from .common import kept_where, sliced
 
 GRAM, MIN_WORDS, COVERAGE, BLOCK_ITEMS = 3, 5, 0.8, 20_000
 #: Alignment scores of an equal word, a word with the same beginning, another word, a gap.
@@ -159,7 +159,7 @@ def _frequencies(texts: DataFrame, items: Items) -> dict[int, int]:
 
     def count(batches):
         total = np.zeros(len(items.codes), np.int64)
-        for batch in batches:
+        for batch in sliced(batches):
             for text in batch.column(0).to_pylist():
                 total[np.unique(items.hits(words_of(text or ""))[1])] += 1
         some = np.flatnonzero(total)
@@ -207,7 +207,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keys: list[Column], tex
         items.choose_seeds(_frequencies(rows.select("text_"), items))
 
         def find(batches, items=items):
-            for batch in batches:
+            for batch in sliced(batches):
                 out = []
                 for text in batch.column(len(names)).to_pylist():
                     found = items.matches(words_of(text)) if text else []

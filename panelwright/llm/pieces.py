@@ -29,10 +29,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced
+
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters in one suffix array; stretches and pairs remembered by a worker; the longest stretch relaxed in step with others.
-INDEXED, REMEMBERED, TOGETHER = 1 << 18, 250_000, 48
-ROWS = 1000  # texts cut and indexed at a time
+INDEXED, REMEMBERED, TOGETHER = 1 << 18, 150_000, 48
 _STRETCH, _LINE_STRETCH = re.compile(r" *[^ ]+| +"), re.compile(r" *[^ \n]+| +|\n")
 
 
@@ -290,9 +291,9 @@ def encode(docs: DataFrame, keys: list[Column], text: Column, model_path: str =
 
     def coded(batches):
         encoder = _encoder(vocabulary)
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(len(names)).to_pylist()
-            codes = [c for at in range(0, len(texts), ROWS) for c in encoder.encode([t or "" for t in texts[at : at + ROWS]])]
+            codes = encoder.encode([t or "" for t in texts])
             sizes = np.array([len(c) // 4 for c in codes], np.int32)
             missing = np.array([t is None for t in texts], bool)
             same = [encoder.decode(np.frombuffer(c, np.int32).tolist()) == (t or "") for c, t in zip(codes, texts)]
@@ -312,7 +313,7 @@ def decode(rows: DataFrame, keys: list[Column], ids: Column, model_path: str = D
 
     def spelled(batches):
         encoder = _encoder(vocabulary)
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [None if x is None else encoder.decode(x) for x in batch.column(len(names)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), pa.array(texts, pa.string())], [*names, "text"])
 

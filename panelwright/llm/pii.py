@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import sliced
 from .trees import BoostedTrees
 
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -245,7 +246,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     model = trained()
 
     def score(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             base = [base_spans(t) for t in texts]
             more = model.added(texts, base)
@@ -272,7 +273,7 @@ def without_pii(docs: DataFrame, text_col: str = "text", chars_col: str | None =
     chars = docs.columns.index(chars_col) if chars_col in docs.columns else None
 
     def redact(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(place).to_pylist()
             base = [base_spans(t or "") for t in texts]
             more = model.added([t or "" for t in texts], base)

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced
+
 FIT_ROWS, BITS, STEPS, RATE, L2 = 8_000, 18, 240, 0.05, 1e-4
 _NOT_LETTERS = bytes(b for b in range(128) if not chr(b).isalpha() and b != 32)
 _RUNS = (re.compile("[A-ZÀ-ÖØ-Þ]+"), re.compile("[a-zß-öø-ÿ]+"), re.compile("[0-9]+"))
@@ -123,7 +125,7 @@ def fit(docs: DataFrame, graded: DataFrame, n_grades: int = 3, id_col: str = "do
 
     def hashed(batches):
         hasher = Hasher()
-        for batch in batches:
+        for batch in sliced(batches):
             made = [hasher.slots(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tolist() for s, _ in made], pa.list_(pa.int32())), pa.array([v.tolist() for _, v in made], pa.list_(pa.float32()))], ["grade_", "s", "v"])
 
@@ -145,7 +147,7 @@ def score(docs: DataFrame, model: Model, keys: list[Column], text: Column) -> Da
 
     def scored(batches):
         hasher = Hasher()
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [t or "" for t in batch.column(len(names)).to_pylist()]
             tails = model.tails(hasher, texts) if texts else np.zeros((0, len(model.thresholds)))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), pa.array(tails.tolist(), pa.list_(pa.float64())), pa.array(tails.sum(1))], [*names, "tails", "expected_grade"])

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, sliced
 from .graph import components
 
 SHINGLE, SEED, MOST = 4, 42, 4
@@ -74,7 +74,7 @@ def fingerprints(docs: DataFrame, keys: list[Column], text: Column) -> DataFrame
     names = rows.columns[:-1]
 
     def score(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(len(names)).cast(pa.binary()).to_pylist()
             prints = pa.array([fingerprint(t or b"") for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), prints], [*names, "fp"])

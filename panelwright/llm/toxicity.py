@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept_where, written
+from .common import kept_where, sliced, written
 
 FIT_ROWS, MAX_PATTERNS, MIN_SUPPORT, MIN_SHARE, MIN_LOG_ODDS = 12_000, 2_000, 6, 0.01, 2.0
 PREFIXES = (6, 5, 4)
@@ -117,7 +117,7 @@ class Lexicon:
     def features(self, text: str) -> list[float]:
         """Sums over the clauses that hold an insult or threat; all zero where there is none."""
         tokens, known = _TOKEN.findall(text.lower()), self.known
-        if len(known) > 500_000:
+        if len(known) > 200_000:
             known.clear()
         seen = []
         for token in tokens:
@@ -185,13 +185,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = written(docs.select(F.col(id_col).alias("id_"), F.coalesce(F.col(text_col), F.lit("")).alias("text_")).join(F.broadcast(chosen), "id_"), "toxicity")  # at most FIT_ROWS rows of two numbers
 
     def hashed(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             yield pa.RecordBatch.from_arrays([pa.array([min_hash(t) for t in batch.column(1).to_pylist()], pa.int64()), batch.column(2), batch.column(1)], ["near", "label_", "text_"])
 
     alone = sample.mapInArrow(hashed, "near long, label_ int, text_ string").dropDuplicates(["near", "label_"])
 
     def counted(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             toxic, all_ = Counter(), Counter()
             for text, label in zip(batch.column(1).to_pylist(), batch.column(0).to_pylist()):
                 found = patterns_of(text)
@@ -214,7 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def shown(batches):
         lexicon = Lexicon(patterns)
-        for batch in batches:
+        for batch in sliced(batches):
             x = [lexicon.features(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], ["label_", "x"])
 
@@ -229,7 +229,7 @@ def score(docs: DataFrame, model: Model, keys: list[Column], text: Column) -> Da
 
     def scored(batches):
         lexicon = Lexicon(model.patterns)
-        for batch in batches:
+        for batch in sliced(batches):
             values = model.scores(lexicon, [t or "" for t in batch.column(len(names)).to_pylist()])
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), pa.array(values, pa.float64())], [*names, "score"])
 

@@ -23,6 +23,7 @@ are looked up by a join with the whole count table.
 from __future__ import annotations
 
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
-from .mixing import BITS, MAP_STEPS, Counts, Mixer, packed, refinement
+from .common import sliced, written
+from .mixing import BITS, MAP_STEPS, Code, Counts, Mixer, packed, refinement
 
 TOP, RATES, REMEMBERED = 300_000, (30.0, 150.0, 700.0, 4000.0), 300_000
 #: Distinct words that one task turns into tables; slots of one shuffled piece of a table.
@@ -61,7 +62,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
             held.clear()
             return out
 
-        for batch in batches:
+        for batch in sliced(batches):
             for text in batch.column(0).cast(pa.binary()).to_pylist():
                 held.update(words_of(text))
                 held[b""] += 1
@@ -78,11 +79,11 @@ def _columns(batches):
             yield batch.column(0).cast(pa.binary()).to_pylist(), np.array(batch.column(1)).astype(float)
 
 
-def _tables(words: DataFrame) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def _tables(words: DataFrame, code: Code) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Packed entries of each predictor, and pairs of such with one 0 and with one 1 taken away."""
 
     def fill(batches):
-        counts, some = Counts(), False
+        counts, some = Counts(code), False
         for names, times in _columns(batches):
             counts.add(names, times)
             some = True
@@ -126,9 +127,20 @@ def _tables(words: DataFrame) -> tuple[list[np.ndarray], list[np.ndarray]]:
     return full, less
 
 
+def _facts(mixer: Mixer, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Per word its static probability and that of its first two bytes, and a number for these two bytes."""
+    whole, start = mixer.log10(words) if words else (np.zeros(0), np.zeros(0))
+    return np.stack([10.0 ** np.maximum(whole, -290), 10.0**start], 1), np.array([int.from_bytes((w + b" ")[:2]) for w in words], np.int64)
+
+
 class Model:
+    """The mixer, N, V, and for the TOP words log10(count + 0.1) and what _facts says."""
+
     def __init__(self, mixer: Mixer, n: int, v: int, top: dict[bytes, int]):
-        self.mixer, self.n, self.v, self.top = mixer, n, v, top
+        self.mixer, self.n, self.v = mixer, n, v
+        self.index = {w: k for k, w in enumerate(top)}
+        self.logs = np.log10(np.array(list(top.values()), float) + 0.1)
+        self.facts, self.starts = _facts(mixer, list(top))
 
 
 def fit(texts: DataFrame) -> tuple[Model, DataFrame]:
@@ -139,65 +151,60 @@ def fit(texts: DataFrame) -> tuple[Model, DataFrame]:
     words = written(word_counts(texts), "words")
     whole = words.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = whole["n"] or 0, whole["v"]
-    dealt = words.repartition(max(1, -(-v // WORDS_PER_TASK)))
-    dealt = written(dealt, "dealt")
-    full, less = _tables(dealt)
+    top = words.orderBy(F.desc("c"), "word").limit(TOP).toArrow()
+    names, counts = top.column("word").cast(pa.binary()).to_pylist(), np.array(top.column("c").to_pylist(), float)
+    code = Code.of_words(names, counts)
+    dealt = written(words.repartition(max(1, -(-v // WORDS_PER_TASK))), "dealt")
+    full, less = _tables(dealt, code)
 
-    def weigh(batches):
-        mixer, size = Mixer(less), 0
+    def learn(batches):
+        mixer, size, seen = Mixer(code, less), 0, 0
         for names, times in _columns(batches):
-            mixer.learn(names, times)
+            seen = seen + mixer.learn(names, times)
             size += len(names)
-        yield pa.RecordBatch.from_arrays([pa.array([size], pa.int64()), pa.array([mixer.weights.reshape(-1).tolist()], pa.list_(pa.float32()))], ["size", "w"])
-
-    learned = dealt.mapInArrow(weigh, "size long, w array<float>").where("size > 0")
-    learned = learned.select("size", F.posexplode("w").alias("at", "w")).groupBy("at").agg((F.sum(F.col("w") * F.col("size")) / F.sum("size")).alias("w")).collect()  # one row per weight
-    mixer = Mixer(less)
-    if learned:
-        flat = mixer.weights.reshape(-1)
-        for row in learned:
-            flat[row["at"]] = row["w"]
-
-    def watch(batches):
-        own = Mixer(less, mixer.weights)
-        for names, times in _columns(batches):
-            seen = own.observe(names, times).reshape(-1)
-            at = np.flatnonzero(seen)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["at", "n"])
-
-    seen = np.zeros(2 * 256 * (MAP_STEPS + 1))
-    for row in dealt.mapInArrow(watch, "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).collect():  # one row per cell of the map
-        seen[row["at"]] = row["n"]
-    refine = refinement(seen.reshape(2, 256, -1))
-    top = words.orderBy(F.desc("c"), "word").limit(TOP).toArrow()
-    counts = dict(zip(top.column("word").cast(pa.binary()).to_pylist(), top.column("c").to_pylist()))
-    return Model(Mixer(full, mixer.weights, refine), n, v, counts), words
+        if size:
+            flat = mixer.weights.reshape(-1).astype(float) * size
+            found = np.flatnonzero(seen.reshape(-1))
+            at = np.concatenate([np.arange(len(flat)), len(flat) + found, [-1]])
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.concatenate([flat, seen.reshape(-1)[found], [size]]))], ["at", "x"])
+
+    mixer = Mixer(code, less)
+    learned = np.zeros(mixer.weights.size + 2 * 255 * (MAP_STEPS + 1) + 1)
+    for row in dealt.mapInArrow(learn, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).collect():  # one row per weight and cell of the map
+        learned[row["at"]] = row["x"]
+    weights = (learned[: mixer.weights.size] / learned[-1]).reshape(mixer.weights.shape) if learned[-1] else mixer.weights
+    refine = refinement(learned[mixer.weights.size : -1].reshape(2, 255, -1))
+    return Model(Mixer(code, full, weights, refine), n, v, dict(zip(names, counts.astype(int).tolist()))), words
 
 
 def _before(keys: np.ndarray, marked: np.ndarray) -> np.ndarray:
     """For each place, how many marked places before it have the same key."""
     order = np.argsort(keys, kind="stable")
+    ordered = keys[order]
     count = np.cumsum(marked[order]) - marked[order]
-    begins = np.flatnonzero(np.diff(keys[order].astype(np.int64), prepend=-1))
+    begins = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
     out = np.empty(len(keys))
     out[order] = count - np.repeat(count[begins], np.diff(np.append(begins, len(keys))))
     return out
 
 
-def adapted(ids: np.ndarray, starts: np.ndarray, spelling: np.ndarray, start_p: np.ndarray) -> float:
-    """log10 probability of the words in order.
+def adapted(ids: np.ndarray, starts: np.ndarray, spelling: np.ndarray, start_p: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """log10 probability of each document's words in order; the documents stand one after the other, ``sizes`` words each.
 
-    ids and starts name each word and its first two bytes; spelling and
-    start_p are the static probabilities of the two.
+    ids and starts number each word and its first two bytes (both below
+    2^31); spelling and start_p are the static probabilities of the two.
     """
-    t = np.arange(len(ids))
-    k = _before(ids, np.ones(len(ids)))
+    begins = np.cumsum(sizes) - sizes
+    doc = np.repeat(np.arange(len(sizes)), sizes) << 31
+    t = np.arange(len(ids)) - np.repeat(begins, sizes)
+    k = _before(doc | ids, np.ones(len(ids)))
     new = (k == 0).astype(float)
-    starting = (_before(starts, new) + START_RATE * start_p) / (np.cumsum(new) - new + START_RATE)
-    s = starting * (spelling / start_p)
-    totals = np.array([np.log10((k + r * s) / (t + r)).sum() for r in RATES])
-    best = totals.max()
-    return float(best + np.log10(np.mean(10.0 ** (totals - best))))
+    news = np.cumsum(new) - new
+    news -= np.repeat(news[begins], sizes)
+    s = (_before(doc | starts, new) + START_RATE * start_p) / (news + START_RATE) * (spelling / start_p)
+    totals = np.stack([np.add.reduceat(np.log10((k + r * s) / (t + r)), begins) for r in RATES])
+    best = totals.max(0)
+    return best + np.log10(np.mean(10.0 ** (totals - best), 0))
 
 
 SCHEMA = "row_no long, n_tokens long, top_known long, top_log double, score double, rare array<struct<word:string,n:long>>"
@@ -212,37 +219,46 @@ def score(docs: DataFrame, model: Model, words: DataFrame, keys: list[Column], t
     rows = docs.select(*keys, text.alias("text_"))
     names = rows.columns[:-1]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    kind = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
 
     def scored(batches):
-        mixer, known = model.mixer, {}
+        mixer, n_top = model.mixer, len(model.index)
         number = TaskContext.get().partitionId() << 33
-        log_of = {w: float(np.log10(c + 0.1)) for w, c in model.top.items()}
-        for batch in (part for whole in batches for part in (whole.slice(at, ROWS) for at in range(0, max(whole.num_rows, 1), ROWS))):
+        facts, starts = np.zeros((n_top + REMEMBERED, 2)), np.zeros(n_top + REMEMBERED, np.int64)
+        facts[:n_top], starts[:n_top] = model.facts, model.starts
+        index, others = dict(model.index), []  # others: the words of the rows from n_top on
+        for batch in sliced(batches, ROWS):
             split = [[*words_of(t), b""] for t in batch.column(len(names)).cast(pa.binary()).to_pylist()]
-            if len(known) > REMEMBERED:
-                known.clear()
-            distinct = list({w for ws in split for w in ws})
-            fresh = [w for w in distinct if w not in known]
+            fresh = list({w for ws in split for w in ws if w not in index})
+            if len(others) + len(fresh) > len(facts) - n_top:  # forget all but the TOP words
+                index, others = dict(model.index), []
+                fresh = list({w for ws in split for w in ws if w not in index})
+                if len(fresh) > len(facts) - n_top:
+                    facts, starts = np.resize(facts, (n_top + 2 * len(fresh), 2)), np.resize(starts, n_top + 2 * len(fresh))
             if fresh:
-                whole_log, start_log = mixer.log10(fresh)
-                known.update(zip(fresh, zip((10.0 ** np.maximum(whole_log, -290)).tolist(), (10.0**start_log).tolist())))
-            place = {w: k for k, w in enumerate(distinct)}
-            p = np.array([known[w] for w in distinct]).reshape(-1, 2)
-            start = np.array([int.from_bytes((w + b" ")[:2]) for w in distinct], np.uint16)
-            logs = np.array([log_of.get(w, np.nan) for w in distinct])
-            out = []
-            for ws in split:
-                ids = np.fromiter(map(place.__getitem__, ws), np.int64, len(ws))
-                found = logs[ids]
-                rare = np.isnan(found)
-                often = Counter(ids[rare].tolist())
-                narrow = ids.astype(np.uint16) if len(distinct) < 1 << 16 else ids
-                out.append((number, len(ws), int(len(ws) - rare.sum()), float(found[~rare].sum()), adapted(narrow, start[ids], p[ids, 0], p[ids, 1]), [{"word": distinct[k].decode(), "n": n} for k, n in often.items()]))
-                number += 1
-            columns = list(zip(*out)) or [[]] * 6
-            types = [pa.int64()] * 3 + [pa.float64()] * 2 + [kind]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), *(pa.array(c, t) for c, t in zip(columns, types))], [*names, *(f.split(" ")[0] for f in SCHEMA.split(", "))])
+                rows_ = slice(n_top + len(others), n_top + len(others) + len(fresh))
+                facts[rows_], starts[rows_] = _facts(mixer, fresh)
+                index.update(zip(fresh, range(rows_.start, rows_.stop)))
+                others += fresh
+            sizes = np.fromiter(map(len, split), np.int64, len(split))
+            ids = np.fromiter(map(index.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
+            rare = ids >= n_top
+            found = np.zeros(len(ids))
+            found[~rare] = model.logs[ids[~rare]]
+            begins = np.cumsum(sizes) - sizes
+            total = np.add.reduceat(found, begins) if len(sizes) else ()
+            n_rare = np.add.reduceat(rare.astype(np.int64), begins) if len(sizes) else ()
+            scores = adapted(ids, starts[ids], facts[ids, 0], facts[ids, 1], sizes) if len(sizes) else ()
+            doc = np.repeat(np.arange(len(sizes)), sizes)[rare]
+            pairs, times = np.unique(doc << 31 | ids[rare], return_counts=True)
+            offsets = np.searchsorted(pairs >> 31, np.arange(len(sizes) + 1)).astype(np.int32)
+            rare_words = pa.array([others[k - n_top] for k in (pairs & (1 << 31) - 1).tolist()], pa.binary()).cast(pa.string())
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([rare_words, pa.array(times, pa.int64())], ["word", "n"]))
+            numbers = number + np.arange(len(sizes))
+            number += len(sizes)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(k) for k in range(len(names))), pa.array(numbers, pa.int64()), pa.array(sizes), pa.array(sizes - n_rare, pa.int64()), pa.array(total, pa.float64()), pa.array(scores, pa.float64()), lists],
+                [*names, "row_no", "n_tokens", "top_known", "top_log", "score", "rare"],
+            )
 
     done = written(rows.mapInArrow(scored, f"{schema}, {SCHEMA}"), "scored")
     rare = done.select("row_no", F.explode("rare").alias("r")).select("row_no", F.col("r.word").alias("word"), F.col("r.n").alias("times"))

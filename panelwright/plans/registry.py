@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import content, panel, reports
+
+QUERIES = {**reports.QUERIES, **content.QUERIES, **panel.QUERIES}
+ORACLES = {**reports.ORACLES, **content.ORACLES, **panel.ORACLES}

@@ -6,7 +6,6 @@ import ctypes
 import gc
 import tempfile
 import uuid
-
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -14,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the session names in spark.checkpoint.dir.
 
@@ -35,21 +37,20 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """The same rows as a Parquet table in the shared folder: smaller than a checkpoint."""
+    """The same rows as a Parquet table in the shared folder, smaller than a checkpoint; sweep() deletes such tables."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(df: DataFrame) -> None:
-    """Delete what written() wrote for this DataFrame."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for file in df.inputFiles():
-        parent = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        parent.getFileSystem(conf).delete(parent, True)
-        break
+def sweep() -> None:
+    """Delete what written() wrote in this process; DataFrames over it can't be read afterwards."""
+    while _WRITTEN:
+        spark, path = _WRITTEN.pop()
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def held_out(id_col: str, modulus: int, remainder: int):

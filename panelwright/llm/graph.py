@@ -1,44 +1,7 @@
-"""Connected components of a link table, wholly in DataFrame joins.
-
-Alternating large-star and small-star steps: each node hands its neighbours
-to the smallest one it knows, until every component is a star. Minima are
-pre-aggregated before the shuffle, a node with very many links only meets
-its minimum in a plain join that adaptive execution can split, and nothing
-is gathered on the driver but a count and a checksum.
-"""
+"""Connected components of a link table: the engine's own star-step operator."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import cut
-
-
-def _handed_over(edges: DataFrame, up: bool) -> DataFrame:
-    """(u, v) with v in u's neighbourhood and m, the least node of that neighbourhood and u."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-    met = edges.join(least, "u")
-    if up:
-        return met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return met.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-
-
-def components(links: DataFrame) -> DataFrame:
-    """(node, root) for every node of the links (u, v); root is the component's least node.
+from ..operators.components import components
 
-    Links may repeat, point both ways or to themselves; null ends are
-    dropped; no links give no rows.
-    """
-    edges = cut(links.where("u IS NOT NULL AND v IS NOT NULL").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    nodes = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
-    edges, before = edges.where("u > v"), None
-    while True:
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _handed_over(both, up=True).where("u > v").distinct()
-        edges = cut(_handed_over(large, up=False).where("u > v").distinct())
-        now = tuple(edges.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first())
-        if now == before:
-            break
-        before = now
-    return nodes.join(edges.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
+__all__ = ["components"]

@@ -371,6 +371,6 @@ ORACLES = {
     "running_spend": LOG + ", s AS (SELECT run_id, stage, seq, round(sum(units) OVER (PARTITION BY run_id, stage ORDER BY seq), 4) AS spent FROM l WHERE stage IS NOT NULL) SELECT run_id, stage, max(spent) AS spent, min(seq) FILTER (spent > 80) AS first_over FROM s GROUP BY 1, 2",
     "spend_totals": LOG + "SELECT stage, round(sum(units), 4) AS units, count(*) AS n FROM l WHERE stage IS NOT NULL GROUP BY 1",
     "ledger_dedup": LOG + "SELECT DISTINCT run_id, event, coalesce(stage, '-') AS stage FROM l",
-    "host_breaker": LOG + ", i AS (SELECT host, seq, ok, count(*) FILTER (ok) OVER (PARTITION BY host ORDER BY seq) AS island FROM l), f AS (SELECT host, seq, count(*) FILTER (NOT ok) OVER (PARTITION BY host, island ORDER BY seq) AS failures FROM i) SELECT host, seq, failures, failures >= 3 AS is_open FROM f",
+    "host_breaker": LOG + ", i AS (SELECT host, seq, ok, count(*) FILTER (ok) OVER (PARTITION BY host ORDER BY seq) AS island FROM l), f AS (SELECT host, seq, count(*) FILTER (NOT ok) OVER (PARTITION BY host, island ORDER BY seq) AS failures FROM i) SELECT host, seq, failures, bool_or(failures >= 3) OVER (PARTITION BY host ORDER BY seq) AS is_open FROM f",
     "throttle_gaps": LOG + ", g AS (SELECT host, seq, round(sec - lag(sec) OVER (PARTITION BY host ORDER BY sec, seq), 6) AS gap FROM l) SELECT host, seq, gap FROM g WHERE gap < 200",
 }

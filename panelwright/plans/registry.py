@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import content, panel, reports
+from . import content, evidence, panel, reports
 
-QUERIES = {**reports.QUERIES, **content.QUERIES, **panel.QUERIES}
-ORACLES = {**reports.ORACLES, **content.ORACLES, **panel.ORACLES}
+QUERIES = {**reports.QUERIES, **content.QUERIES, **panel.QUERIES, **evidence.QUERIES}
+ORACLES = {**reports.ORACLES, **content.ORACLES, **panel.ORACLES, **evidence.ORACLES}

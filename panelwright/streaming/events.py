@@ -47,25 +47,27 @@ def ledger(events: DataFrame, keys: list[str], watermark: str | None = None) ->
 
 
 def host_breaker(attempts: DataFrame, threshold: int) -> DataFrame:
-    """Each attempt (host, seq, ok) with the failures since the host's last success and whether the breaker is open."""
+    """Each attempt (host, seq, ok) with the failures since the host's last success and whether the breaker is open; once open it stays so."""
     order = Window.partitionBy("host").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     island = F.sum(F.when(F.col("ok"), 1).otherwise(0)).over(order)
     run = Window.partitionBy("host", "island_").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     failures = F.sum(F.when(F.col("ok"), 0).otherwise(1)).over(run)
-    return attempts.withColumn("island_", island).withColumn("failures", failures).withColumn("is_open", F.col("failures") >= threshold).drop("island_")
+    counted = attempts.withColumn("island_", island).withColumn("failures", failures)
+    return counted.withColumn("is_open", F.max(F.col("failures") >= threshold).over(order)).drop("island_")
 
 
 def host_breaker_stream(attempts: DataFrame, threshold: int) -> DataFrame:
-    """(host, failures, is_open) after each micro-batch: one counter of state per host."""
+    """(host, failures, is_open) after each micro-batch: a counter and a flag of state per host."""
 
     def fold(key, frames: Iterator[pd.DataFrame], state):
-        failures = state.get[0] if state.exists else 0
+        failures, is_open = state.get if state.exists else (0, False)
         for row in pd.concat(frames).sort_values("seq").itertuples():
             failures = 0 if row.ok else failures + 1
-        state.update((failures,))
-        yield pd.DataFrame({"host": [key[0]], "failures": [failures], "is_open": [failures >= threshold]})
+            is_open = is_open or failures >= threshold
+        state.update((failures, is_open))
+        yield pd.DataFrame({"host": [key[0]], "failures": [failures], "is_open": [is_open]})
 
-    return attempts.groupBy("host").applyInPandasWithState(fold, "host string, failures long, is_open boolean", "failures long", "update", "NoTimeout")
+    return attempts.groupBy("host").applyInPandasWithState(fold, "host string, failures long, is_open boolean", "failures long, is_open boolean", "update", "NoTimeout")
 
 
 def throttle_violations(requests: DataFrame, gap_s: float) -> DataFrame:

@@ -9,8 +9,8 @@ import tarfile
 import zipfile
 
 import pytest
-from panelwright.functions import dates, html, stats, text, urls
-from panelwright.operators import combine, components, cost, diff, integrity, packing, repair, resolve, sampling, similarity
+from panelwright.functions import dates, html, quotes, stats, text, urls
+from panelwright.operators import combine, components, cost, diff, evidence, integrity, packing, repair, resolve, rows, sampling, similarity
 from panelwright.sources import readers, writers
 from panelwright.streaming import events
 from pyspark.sql import functions as F
@@ -284,3 +284,46 @@ def test_entry_works_without_the_llm_package(tmp_path):
     shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
     code = "import __spark_entry__ as e; assert 'funnel_health' in e.queries() and 'pipeline' not in e.queries() and e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, check=True)
+
+
+def test_quotes():
+    assert quotes.common_subsequence("abcbdab", "bdcaba") == 4 and quotes.common_subsequence("", "x") == 0
+    rng = random.Random(7)
+    for _ in range(200):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randrange(9))) for _ in range(2))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        assert quotes.common_subsequence(a, b) == table[-1][-1]
+    assert quotes.matched("The CAT’s hat", "a hat, the cat’s own hat") == (100.0, 1.0, "both")
+    assert quotes.matched("", "x") == (0.0, None, None) and quotes.matched("ｆｕｌｌ", "full text")[2] == "both"
+    assert quotes.matched("entirely other words", "nothing in common")[2] is None
+    assert quotes.token_set_ratio(["fuzzy", "was", "a", "bear"], ["fuzzy", "fuzzy", "was", "a", "bear"]) == 100.0
+
+
+def test_follow_is_bounded_and_nearest_first(spark):
+    starts = spark.createDataFrame([("i", "a")], "institution string, url string")
+    links = spark.createDataFrame([("a", f"b{k}", float(9 - k)) for k in range(9)] + [("b8", "c", 0.0), ("c", "d", 0.0), ("d", "e", 0.0), ("b8", "a", 0.0)], "url string, to string, nearness double")
+    got = {r.url: r.hop for r in evidence.follow(starts, links, 3, 4).collect()}
+    assert got == {"a": 0, "b8": 1, "b7": 1, "b6": 1, "b5": 1}
+    assert {r.url: r.hop for r in evidence.follow(starts, links.where("url <> 'a' OR to = 'b8'"), 3, 10).collect()} == {"a": 0, "b8": 1, "c": 2, "d": 3}
+
+
+def test_origins(spark):
+    d = spark.createDataFrame([("c", "b"), ("b", "a"), ("x", "y"), ("y", "x")], "record string, source string")
+    assert sorted(map(tuple, evidence.origins(d, 5).collect())) == [("b", "a", False), ("c", "a", False), ("x", "x", True), ("y", "y", True)]
+
+
+def test_breaker_stays_open(spark):
+    rows = [("h", i, ok) for i, ok in enumerate([False, False, True, False])]
+    out = events.host_breaker(spark.createDataFrame(rows, "host string, seq int, ok boolean"), 2).orderBy("seq").collect()
+    assert [(r.failures, r.is_open) for r in out] == [(1, False), (2, True), (0, True), (1, True)]
+
+
+def test_confidence_and_projection(spark):
+    checks = spark.createDataFrame([("a", "supported", None), ("a", None, None), ("b", "downgraded_no_quote", None), ("b", None, None), ("c", "supported", None), ("d", "supported", "downgraded_low_confidence")], "s string, status string, second_reason string")
+    cred = spark.createDataFrame([("c", "high"), ("d", "high")], "s string, credibility string")
+    assert {r.s: r.confidence for r in evidence.source_confidence(checks, cred, "s").collect()} == {"a": "unfinished", "b": "low", "c": "high", "d": "low"}
+    out = rows.public_projection(spark.createDataFrame([(1, "x", ["a@b.c", "d@b.c"])], "k int, secret string, mails array<string>"), ["secret"], "mails").first()
+    assert out.asDict(True) == {"k": 1, "mails_by_domain": [{"domain": "b.c", "n": 2}]}

@@ -144,3 +144,19 @@ def hint(value: Column) -> Column:
     """A query hint: no quotes or parentheses, no leading minus of a word, single spaces."""
     bare = F.regexp_replace(F.regexp_replace(value, r'["()]', " "), r"(^|\s)-+", "$1")
     return F.trim(F.regexp_replace(bare, r"\s+", " "))
+
+
+#: Two-label public suffixes known without a suffix table; callers with the full public list pass it.
+SUFFIXES = (
+    "co.uk", "gov.uk", "ac.uk", "org.uk", "com.au", "gov.au", "edu.au", "co.jp", "go.jp", "ac.jp", "com.br", "gov.br", "co.in", "gov.in", "nic.in",
+    "com.mx", "gob.mx", "com.cn", "gov.cn", "co.za", "gov.za", "co.kr", "go.kr", "com.tr", "gov.tr", "co.nz", "govt.nz",
+)
+
+
+def registrable_domain(url_or_host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
+    """The label before the longest known public suffix, with it; a single label or an address in numbers stays as it is."""
+    host = F.regexp_replace(F.coalesce(site_host(url_or_host), F.lower(url_or_host)), ":[0-9]+$", "")
+    labels = F.split(host, r"\.")
+    n = F.size(labels)
+    last = lambda k: F.array_join(F.slice(labels, F.greatest(n - k + 1, F.lit(1)), F.least(n, F.lit(k))), ".")
+    return F.when((n <= 2) | host.rlike(r"^[0-9.]+$"), host).when(last(2).isin(*suffixes), last(3)).otherwise(last(2))

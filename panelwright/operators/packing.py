@@ -47,3 +47,44 @@ def chunk_pages(pages: DataFrame, key: str, text: str, chars: int) -> DataFrame:
     rows = pages.select(key, pieces.alias("p"), starts.alias("s")).select(key, F.posexplode("p").alias("at", "piece"), "s")
     begin = F.get(F.col("s"), F.col("at"))
     return rows.select(key, (F.col("at") + 1).alias("part"), begin.alias("start"), (begin + F.length("piece")).alias("end"), F.col("piece").alias("text"))
+
+
+class OverLimit(Exception):
+    """What a ``send`` function raises when a part is too large for it."""
+
+
+def halves(text: str) -> tuple[str, str]:
+    """The text cut at the boundary nearest its middle: a paragraph, else a line, else a sentence, else a space, else the middle."""
+    import re
+
+    for pattern in (r"\n[ \t]*\n\s*", r"\n", r"(?<=[.!?。！？])\s+", r"\s+"):
+        cuts = [m.end() for m in re.finditer(pattern, text) if 0 < m.end() < len(text)]
+        if cuts:
+            at = min(cuts, key=lambda p: (abs(p - len(text) / 2), p))
+            return text[:at], text[at:]
+    return text[: len(text) // 2], text[len(text) // 2 :]
+
+
+def with_halving(parts: DataFrame, key: str, text: str, send, depth: int = 3) -> DataFrame:
+    """(key, piece, result, failed): send(text) -> string for each part; on OverLimit the part is halved and sent again, ``depth`` times at most.
+
+    ``send`` runs in the tasks; pieces come in the text's order; a piece that is
+    still over the limit has a null result and failed set.
+    """
+    import pandas as pd
+
+    def run(frames):
+        def tried(piece, left):
+            try:
+                return [(send(piece), False)]
+            except OverLimit:
+                if not left or len(piece) < 2:
+                    return [(None, True)]
+                return [r for half in halves(piece) for r in tried(half, left - 1)]
+
+        for frame in frames:
+            rows = [(k, n, r, failed) for k, t in zip(frame["key"], frame["text"]) for n, (r, failed) in enumerate(tried(t or "", depth), 1)]
+            yield pd.DataFrame(rows, columns=["key", "piece", "result", "failed"])
+
+    rows = parts.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    return rows.mapInPandas(run, f"key {rows.schema['key'].dataType.simpleString()}, piece int, result string, failed boolean")

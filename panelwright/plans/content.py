@@ -259,3 +259,39 @@ def html_links(spark, sf):
 
 
 QUERIES |= {"html_main_text": html_main_text, "html_links": html_links}
+
+
+def registrable_domains(spark, sf):
+    p = table(spark, sf, "pages").select("page_id", F.when(F.col("page_id") % 3 == 0, F.concat(F.regexp_extract("url", "^(https?://[^/]+)", 1), F.lit(".co.uk:81/x"))).otherwise(F.col("url")).alias("url"))
+    return p.select("page_id", urls.registrable_domain(F.col("url")).alias("domain"))
+
+
+def language_id(spark, sf):
+    from ..functions import language
+
+    d = table(spark, sf, "documents").select("lang", language.identify(F.col("text")).alias("found"))
+    return d.groupBy("lang", "found").agg(F.count(F.lit(1)).alias("n"))
+
+
+def mined_years(spark, sf):
+    from ..functions import years
+
+    d = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("FY"), (F.col("doc_id") % 90 + 10).cast("string"), F.lit(" and "), (F.col("doc_id") % 40 + 1990).cast("string"), F.lit("-2020, "), F.coalesce("text", F.lit(""))).alias("text"))
+    return years.year_rows(d, "doc_id", "text", 2026).groupBy("year", "form").agg(F.count(F.lit(1)).alias("n"))
+
+
+def halved_parts(spark, sf):
+    def send(piece: str) -> str:
+        if len(piece) > 800:
+            raise packing.OverLimit
+        return str(len(piece))
+
+    d = table(spark, sf, "documents").where("n_chars < 9000")
+    out = packing.with_halving(d, "doc_id", "text", send)
+    return out.groupBy("key").agg(F.count(F.lit(1)).alias("pieces"), F.count_if("failed").alias("n_failed"), F.sum(F.col("result").cast("long")).alias("sent"))
+
+
+QUERIES |= {"registrable_domains": registrable_domains, "language_id": language_id, "mined_years": mined_years, "halved_parts": halved_parts}
+ORACLES |= {
+    "registrable_domains": "WITH h AS (SELECT page_id, string_split(" + HOST + " || CASE WHEN page_id % 3 = 0 THEN '.co.uk' ELSE '' END, '.') AS l FROM pages) SELECT page_id, array_to_string(l[len(l) - CASE WHEN page_id % 3 = 0 THEN 2 ELSE 1 END :], '.') AS domain FROM h",
+}

@@ -9,7 +9,7 @@ import tarfile
 import zipfile
 
 import pytest
-from panelwright.functions import dates, html, quotes, stats, text, urls
+from panelwright.functions import dates, html, language, quotes, stats, text, urls, years
 from panelwright.operators import combine, components, cost, diff, evidence, integrity, packing, repair, resolve, rows, sampling, similarity
 from panelwright.sources import readers, writers
 from panelwright.streaming import events
@@ -327,3 +327,37 @@ def test_confidence_and_projection(spark):
     assert {r.s: r.confidence for r in evidence.source_confidence(checks, cred, "s").collect()} == {"a": "unfinished", "b": "low", "c": "high", "d": "low"}
     out = rows.public_projection(spark.createDataFrame([(1, "x", ["a@b.c", "d@b.c"])], "k int, secret string, mails array<string>"), ["secret"], "mails").first()
     assert out.asDict(True) == {"k": 1, "mails_by_domain": [{"domain": "b.c", "n": 2}]}
+
+
+@pytest.mark.parametrize(
+    ("written", "mined"),
+    [
+        ("FY25", {2025}), ("FY1949/50", {1949, 2050}), ("FY99/00", {1999, 2000}), ("B.E. 2566/67", {2023, 2024}), ("ปีงบประมาณ 2567-68", {2024, 2025}), ("2014-2020", {2014, 2020}), ("1850-2010", {2010}),
+        ("p. 2012-2014", set()), ("2010-15", set()), ("2024-25", {2024}), ("令和元年度", {2019}), ("平成三十年", {2018}), ("民國113年", {2024}), ("2024-25年度", {2024, 2025}), ("FY 2014/15-2019/20", {2014, 2015, 2019, 2020}),
+        ("2010-2012-2014", {2010, 2012, 2014}), ("FY 06/30/2024", {2024}), ("2010 to  2020", {2010, 2020}), ("Haushaltsjahr 2025/2026", {2025, 2026}), ("２０２４", {2024}), ("12345 20201", set()), ("", set()),
+    ],
+)
+def test_years(written, mined):
+    found = years.mine_years(f"x {written} y", 2026)
+    assert {y for y, *_ in found} == mined and all(0 <= a < b <= len(written) + 4 for _, a, b, _ in found)
+
+
+def test_domains_and_languages(spark):
+    got = {h: one(spark, urls.registrable_domain(F.lit(h))) for h in ("https://www.a.b.co.uk/x", "x.y.example.org", "localhost", "10.0.0.1", "co.uk")}
+    assert list(got.values()) == ["b.co.uk", "example.org", "localhost", "10.0.0.1", "co.uk"]
+    english, spanish = "the river of the valley is and that was for the people " * 5, "el rio de los valles que por una vez es para las gentes " * 5
+    assert [one(spark, language.identify(F.lit(t))) for t in (english, spanish, english + spanish, "the", None)] == ["en", "es", "mul", "unknown", "unknown"]
+
+
+def test_halving_loses_nothing(spark):
+    texts = [(1, "one. two. three. four. " * 20), (2, "x" * 100), (3, ""), (4, None)]
+
+    def send(piece):
+        if len(piece) > 60:
+            raise packing.OverLimit
+        return piece
+
+    out = packing.with_halving(spark.createDataFrame(texts, "k long, t string"), "k", "t", send, depth=4).orderBy("key", "piece").collect()
+    for k, t in texts:
+        assert "".join(r.result for r in out if r.key == k) == (t or "") and not any(r.failed for r in out if r.key == k)
+    assert all(r.failed for r in packing.with_halving(spark.createDataFrame(texts[1:2], "k long, t string"), "k", "t", send, depth=0).collect())

@@ -43,6 +43,7 @@ class Items:
         vocabulary = sorted({w for ws in self.words for w in ws})
         self.number = {w: k for k, w in enumerate(vocabulary, 1)}
         self.base = len(vocabulary) + 1
+        self.beginning = {b: k for k, b in enumerate(sorted({w[:4] for w in vocabulary if len(w) >= 4}), 1)}
         self.coded = [np.array([self.number[w] for w in ws], np.int64) for ws in self.words]
         grams = defaultdict(list)
         for k, codes in enumerate(self.coded):
@@ -97,7 +98,7 @@ class Items:
         out = []
         for k, windows in near.items():
             best = None
-            for start, end in _merged(windows):
+            for start, end in _cut(_merged(windows), len(self.words[k])):
                 shared = {c for p, c in grams[k] if start <= p < end}
                 if len(shared) < max(1, len(self.words[k]) // 5 - 2):
                     continue
@@ -113,13 +114,14 @@ class Items:
         item = self.words[k]
         n = len(text)
         place = np.arange(1, n + 1)
-        starts = [w[:4] if len(w) >= 4 else None for w in text]
+        codes = np.fromiter((self.number.get(w, 0) for w in text), np.int64, n)
+        begins = np.fromiter((self.beginning.get(w[:4], 0) if len(w) >= 4 else 0 for w in text), np.int64, n)
         table = np.zeros((len(item) + 1, n + 1), np.int32)
         rows = {}
         for i, word in enumerate(item):
             if word not in rows:
-                start = word[:4] if len(word) >= 4 else ""
-                rows[word] = np.array([EQUAL if t == word else ALIKE if s == start else UNEQUAL for t, s in zip(text, starts)], np.int32)
+                begin = self.beginning.get(word[:4], 0) if len(word) >= 4 else -1
+                rows[word] = np.where(codes == self.number[word], EQUAL, np.where(begins == begin, ALIKE, UNEQUAL)).astype(np.int32)
             above = np.maximum(np.maximum(table[i, :-1] + rows[word], table[i, 1:] - GAP), 0)
             table[i + 1, 1:] = np.maximum.accumulate(above + GAP * place) - GAP * place
         i, j = np.unravel_index(int(table.argmax()), table.shape)
@@ -146,6 +148,21 @@ def _merged(windows: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _cut(windows: list[tuple[int, int]], m: int) -> list[tuple[int, int]]:
+    """Long windows in overlapping pieces, so that memory stays bounded where a text repeats an item again and again.
+
+    An alignment of an item of m words is at most m + m EQUAL / GAP words long, and stays whole in a piece.
+    """
+    longest = m + m * EQUAL // GAP
+    out = []
+    for start, end in windows:
+        while end - start > 8 * longest:
+            out.append((start, start + 8 * longest))
+            start += 7 * longest
+        out.append((start, end))
+    return out
+
+
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str):
     rows = benchmark.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("item"), F.col(text_col).alias("text"))
     blocks = max(1, -(-rows.count() // BLOCK_ITEMS))

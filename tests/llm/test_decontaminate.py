@@ -98,3 +98,17 @@ def test_whole_table_against_brute_force(spark):
         assert got[r.doc_id].contaminated or not verbatim
         if best is not None:
             assert got[r.doc_id].contaminated == (best >= dc.COVERAGE)
+
+
+def test_long_windows_are_cut_without_losing_the_best_place():
+    rng = random.Random(8)
+    item = passage(rng, 15)
+    text = []
+    for _ in range(600):
+        text += [w for w in item if rng.random() < 0.7] + passage(rng, rng.randrange(4))
+    text[4000:4000] = item
+    items = dc.Items([(1, " ".join(item))])
+    found = items.matches(text)
+    assert found[0][0] == 1.0 == items.align(0, text)[0] and text[found[0][3] : found[0][4]] == item
+    pieces = dc._cut([(0, len(text))], 15)
+    assert len(pieces) > 20 and pieces[-1][1] == len(text) and all(a[1] - b[0] >= 45 for a, b in zip(pieces, pieces[1:]))

@@ -133,7 +133,7 @@ def near_empty(spark, sf):
 
 def cap_text(spark, sf):
     c = text.capped(F.col("text"), 1000)
-    return _docs(spark, sf).select("doc_id", F.md5(F.concat(F.substring(c, 1, 500), F.lit("|"), F.substring(c, -500, 500))).alias("ends"), (F.length(F.col("text")) > 1000).alias("truncated"), F.length(c).alias("n"))
+    return _docs(spark, sf).select("doc_id", F.md5(F.concat(F.substring(c, 1, 500), F.lit("|"), F.substring(c, -500, 500))).alias("ends"), (F.length(F.col("text")) > 1000).alias("truncated"), F.length(c).cast("long").alias("n"))
 
 
 def keyword_proximity(spark, sf):

@@ -223,7 +223,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(docs: DataFrame, model: Model, keys: list[Column], text: Column) -> DataFrame:
-    """The key columns and ``score``. Null and empty texts get the score of a text without a match."""
+    """The key columns and ``score`` (0 to 1).
+
+    Null and empty texts get the score of a text without a match; repeated
+    rows are rows of their own; an empty table gives no rows; other columns,
+    whatever their names, are not read.
+    """
     rows = docs.select(*keys, text.alias("text_"))
     names = rows.columns[:-1]
 

@@ -64,6 +64,13 @@ def test_typed_parts(spark):
     assert row.formatted.startswith("<|turn|>user<|says|>see <\\;|end|> <|image:3|><|document:4|>then<|audio:6|><|hologram:7|><|end|>")
 
 
+def test_chat_ignores_other_columns_and_keeps_null_ids(spark):
+    rows = [(None, 0, "user", "hi", 1, "x"), (None, 0, "user", "hi", 1, "x"), (5, None, None, "yo", 2, "y")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, messages int, formatted string").withColumn("parts", chat.text_parts(F.col("text")))
+    got = {r.conv_id: (r.n_turns, r.formatted) for r in chat.format_conversations(df).collect()}
+    assert got == {None: (2, "<|turn|>user<|says|>hi<|end|>" * 2), 5: (1, "<|turn|><|says|>yo<|end|>")}
+
+
 def test_chat_of_nothing(spark):
     df = spark.createDataFrame([], f"conv_id long, turn long, role string, parts {chat.PARTS}")
     assert chat.format_conversations(df).count() == 0

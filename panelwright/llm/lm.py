@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import sliced, written
 from .mixing import BITS, MAP_STEPS, Code, Counts, Mixer, packed, refinement
 
-TOP, RATES, REMEMBERED = 300_000, (30.0, 150.0, 700.0, 4000.0), 300_000
+TOP, RATES, REMEMBERED = 300_000, (30.0, 150.0, 700.0, 4000.0), 150_000
 #: Distinct words that one task turns into tables; slots of one shuffled piece of a table.
 WORDS_PER_TASK, PIECE = 400_000, 1 << 16
 #: Weight of the static probability of a word's first two bytes against those of the document's new words.
@@ -43,7 +43,7 @@ START_RATE = 20.0
 #: Documents whose words are held at a time.
 ROWS = 200
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-_HELD = 250_000
+_HELD = 200_000
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -225,12 +225,14 @@ def score(docs: DataFrame, model: Model, words: DataFrame, keys: list[Column], t
         number = TaskContext.get().partitionId() << 33
         facts, starts = np.zeros((n_top + REMEMBERED, 2)), np.zeros(n_top + REMEMBERED, np.int64)
         facts[:n_top], starts[:n_top] = model.facts, model.starts
-        index, others = dict(model.index), []  # others: the words of the rows from n_top on
+        index, others = model.index, []  # others: the words of the rows from n_top on
         for batch in sliced(batches, ROWS):
             split = [[*words_of(t), b""] for t in batch.column(len(names)).cast(pa.binary()).to_pylist()]
             fresh = list({w for ws in split for w in ws if w not in index})
             if len(others) + len(fresh) > len(facts) - n_top:  # forget all but the TOP words
-                index, others = dict(model.index), []
+                for w in others:
+                    del index[w]
+                others = []
                 fresh = list({w for ws in split for w in ws if w not in index})
                 if len(fresh) > len(facts) - n_top:
                     facts, starts = np.resize(facts, (n_top + 2 * len(fresh), 2)), np.resize(starts, n_top + 2 * len(fresh))

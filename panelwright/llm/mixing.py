@@ -29,7 +29,7 @@ START = (0.0, 0.0, 0.1, 0.2, 0.7)
 LOGIT_MAX, LOGIT_STEPS = 12.0, 8192
 MAP_STEPS, MAP_MAX, MAP_SHARE = 24, 9.0, 0.5
 #: Decisions in one vectorised pass.
-PASS = 1 << 19
+PASS = 1 << 18
 
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 _NODE = np.uint64(0xD6E8FEB86659FD93)

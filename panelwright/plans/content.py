@@ -149,7 +149,7 @@ def word_presence(spark, sf):
     """For each benchmark passage the highest share of its words that one of the documents of each language holds (quote check)."""
     b = table(spark, sf, "benchmark").select("item_id", F.explode(F.array_distinct(text.words(F.col("text")))).alias("w"))
     n = b.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
-    d = _docs(spark, sf).where("n_chars < 3000").select("doc_id", "lang", F.explode(F.array_distinct(text.words(F.coalesce(F.col("text"), F.lit(""))))).alias("w"))
+    d = _docs(spark, sf).select("doc_id", "lang", F.explode(F.array_distinct(text.words(F.coalesce(F.col("text"), F.lit(""))))).alias("w"))
     shares = d.join(b, "w").groupBy("item_id", "lang", "doc_id").agg(F.count(F.lit(1)).alias("k")).join(n, "item_id")
     return shares.groupBy("item_id", "lang").agg(F.round(F.max(F.col("k") / F.col("n")), 4).alias("presence"))
 
@@ -286,8 +286,7 @@ def halved_parts(spark, sf):
             raise packing.OverLimit
         return str(len(piece))
 
-    d = table(spark, sf, "documents").where("n_chars < 9000")
-    out = packing.with_halving(d, "doc_id", "text", send)
+    out = packing.with_halving(table(spark, sf, "documents"), "doc_id", "text", send)
     return out.groupBy("key").agg(F.count(F.lit(1)).alias("pieces"), F.count_if("failed").alias("n_failed"), F.sum(F.col("result").cast("long")).alias("sent"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 
 import pytest
+from panelwright.functions import quotes
 from panelwright.plans import registry
 
 
@@ -50,3 +51,12 @@ def test_halved_parts_halves_documents_of_any_length(spark, tables):
     sf = tables(documents=documents("x" * 700, "y" * 1000, "z" * 12_000, None, "w" * 1600))
     got = {r.key: (r.pieces, r.n_failed, r.sent) for r in registry.QUERIES["halved_parts"](spark, sf).collect()}
     assert got == {0: (1, 0, 700), 1: (2, 0, 1000), 2: (8, 8, None), 3: (1, 0, 0), 4: (2, 0, 1600)}
+
+
+def test_quote_match_gives_a_result_for_every_document(spark, tables):
+    words = " ".join(f"w{k}" for k in range(3000))
+    sf = tables(documents=documents("too short", words, words, "w " * 40 + "tail", None, words[:400]))
+    got = {r.doc_id: (r.score, r.word_share, r.decided_by) for r in registry.QUERIES["quote_match"](spark, sf).collect()}
+    want = {k: quotes.matched(q, t) for k, q, t in ((1, words[49:109], words), (2, words[49:109] + " zzz qqq www vvv uuu ttt sss rrr", words), (3, ("w " * 40 + "tail")[49:], "w " * 40 + "tail"), (5, words[49:109], words[:400]))}
+    assert got == {0: (0.0, None, None), 4: (0.0, None, None), **want}
+    assert got[1][2] is not None and got[2][2] is None

@@ -80,18 +80,25 @@ def follow(starts: DataFrame, links: DataFrame, hops: int = 3, cap: int = 10) ->
     return seen
 
 
-def origins(derived: DataFrame, depth: int = 8) -> DataFrame:
-    """(record, origin, cyclic): what each record finally derives from (derived(record, source)); a chain that comes back to its start, or is deeper than ``depth``, is cyclic."""
-    walk = derived.select("record", F.col("source").alias("at"))
-    up = derived.select(F.col("record").alias("at"), F.col("source").alias("next"))
-    done = []
-    for _ in range(depth):
-        step = walk.join(up, "at", "left")
-        done.append(step.where("next IS NULL").select("record", F.col("at").alias("origin"), F.lit(False).alias("cyclic")))
-        done.append(step.where("next = record").select("record", F.col("next").alias("origin"), F.lit(True).alias("cyclic")))
-        walk = step.where("next IS NOT NULL AND next <> record").select("record", F.col("next").alias("at"))
-    done.append(walk.select("record", F.col("at").alias("origin"), F.lit(True).alias("cyclic")))
-    out = done[0]
-    for more in done[1:]:
-        out = out.union(more)
-    return out.distinct()
+def origins(derived: DataFrame, depth: int | None = None) -> DataFrame:
+    """(record, origin, cyclic): what each record finally derives from (derived(record, source)), however deep; ``depth`` is kept for callers and limits nothing.
+
+    A record of a cycle is its own origin and cyclic; one whose chain runs into
+    a cycle is cyclic with the place where it enters as origin. Reach doubles in each round until it grows no more.
+    """
+    up = cut(derived.where("source IS NOT NULL").select("record", F.col("source").alias("at")).distinct())
+    reached, n, before = up, up.count(), -1
+    while n != before:
+        further = reached.join(reached.select(F.col("record").alias("at"), F.col("at").alias("to")), "at").select("record", F.col("to").alias("at"))
+        reached = cut(reached.union(further).distinct())
+        before, n = n, reached.count()
+    ends = reached.join(up.select(F.col("record").alias("at")).distinct(), "at", "left_anti").select("record", F.col("at").alias("origin"), F.lit(False).alias("cyclic"))
+    nothing = derived.where("source IS NULL").select("record", F.col("source").alias("origin"), F.lit(False).alias("cyclic"))
+    on_cycle = reached.where("record = at").select("record")
+    own = on_cycle.select("record", F.col("record").alias("origin"), F.lit(True).alias("cyclic"))
+    # Steps into a cycle that do not come back, and all that reach them.
+    entries = up.join(on_cycle.select(F.col("record").alias("at")), "at", "left_semi").select("record", "at")
+    entries = entries.join(reached.select(F.col("at").alias("record"), F.col("record").alias("at")), ["record", "at"], "left_anti")
+    later = reached.join(entries.select(F.col("record").alias("at"), F.col("at").alias("origin")), "at").select("record", "origin")
+    into = entries.select("record", F.col("at").alias("origin")).union(later).select("record", "origin", F.lit(True).alias("cyclic"))
+    return ends.union(nothing).union(own).union(into).distinct()

@@ -89,9 +89,9 @@ def follow_links(spark, sf):
 
 
 def provenance_origins(spark, sf):
-    p = table(spark, sf, "part").where("p_partkey BETWEEN 1 AND 400")
+    p = table(spark, sf, "part")
     d = p.select(F.col("p_partkey").alias("record"), F.when(F.col("p_partkey") % 50 == 0, F.col("p_partkey") + 1).otherwise(F.floor(F.col("p_partkey") / 3)).alias("source"))
-    return evidence.origins(d, 8)
+    return evidence.origins(d)
 
 
 def quote_match(spark, sf):

@@ -6,6 +6,7 @@ from collections import Counter
 
 import pytest
 from panelwright.functions import quotes
+from panelwright.operators import evidence
 from panelwright.plans import registry
 
 
@@ -60,3 +61,22 @@ def test_quote_match_gives_a_result_for_every_document(spark, tables):
     want = {k: quotes.matched(q, t) for k, q, t in ((1, words[49:109], words), (2, words[49:109] + " zzz qqq www vvv uuu ttt sss rrr", words), (3, ("w " * 40 + "tail")[49:], "w " * 40 + "tail"), (5, words[49:109], words[:400]))}
     assert got == {0: (0.0, None, None), 4: (0.0, None, None), **want}
     assert got[1][2] is not None and got[2][2] is None
+
+
+def test_provenance_origins_walks_every_record_to_its_end(spark, tables):
+    sf = tables(part=([(k,) for k in range(1, 20_001)], "p_partkey long"))
+    source = {k: k + 1 if k % 50 == 0 else k // 3 for k in range(1, 20_001)}
+    got = {r.record: (r.origin, r.cyclic) for r in registry.QUERIES["provenance_origins"](spark, sf).collect()}
+    assert len(got) == 20_000 and source[20_000] == 20_001
+    for k in source:
+        at = k
+        while at in source:
+            at = source[at]
+        assert got[k] == (at, False)
+
+
+def test_origins_of_deep_chains_and_chains_into_cycles(spark):
+    edges = [(k, k + 1) for k in range(60)] + [(100, 101), (101, 102), (102, 103), (103, 101), (200, 200), (300, None), (400, 401), (400, 402)]
+    got = sorted(map(tuple, evidence.origins(spark.createDataFrame(edges, "record long, source long")).collect()), key=str)
+    want = [(k, 60, False) for k in range(60)] + [(100, 101, True), (101, 101, True), (102, 102, True), (103, 103, True), (200, 200, True), (300, None, False), (400, 401, False), (400, 402, False)]
+    assert got == sorted(want, key=str)

@@ -99,7 +99,7 @@ def latest_pick_by_recency(spark, sf):
 
 
 def _spans(spark, sf):
-    e = table(spark, sf, "events").where("event_id < 4000").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    e = table(spark, sf, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
     start = F.col("event_id") * 7 % 5000
     rows = e.select((F.col("user_id") % 20).alias("page"), F.col("event_id").alias("id"), start.alias("start"), (start + F.col("k") % 30).alias("end"), "event_type")
     return rows.where("event_type IN ('view', 'click')"), rows.where("event_type IN ('error', 'purchase')")
@@ -132,9 +132,9 @@ def parent_chain(spark, sf):
 
 
 def clique_groups(spark, sf):
-    d = table(spark, sf, "documents").where("doc_id < 300").select(F.col("doc_id").alias("node"))
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("node"))
     links = d.where("node % 10 < 2").select(F.col("node").alias("u"), (F.col("node") + 1).alias("v")).union(d.where("node % 30 = 0").select("node", F.col("node") + 2))
-    return cliques_or_singletons(d, links.where("v < 300"))
+    return cliques_or_singletons(d, links.join(d.select(F.col("node").alias("v")), "v", "left_semi").select("u", "v"))
 
 
 # Sampling

@@ -80,3 +80,31 @@ def test_origins_of_deep_chains_and_chains_into_cycles(spark):
     got = sorted(map(tuple, evidence.origins(spark.createDataFrame(edges, "record long, source long")).collect()), key=str)
     want = [(k, 60, False) for k in range(60)] + [(100, 101, True), (101, 101, True), (102, 102, True), (103, 103, True), (200, 200, True), (300, None, False), (400, 401, False), (400, 402, False)]
     assert got == sorted(want, key=str)
+
+
+def test_clique_groups_holds_every_document(spark, tables):
+    sf = tables(documents=documents(*["t"] * 752))
+    got = {r.node: r.root for r in registry.QUERIES["clique_groups"](spark, sf).collect()}
+    # The last clique, 750 to 752, lacks its third node and stays one of two.
+    assert got == {k: k - k % 30 if k % 30 <= 2 else k for k in range(752)}
+
+
+def test_spans_of_every_event_meet(spark, tables):
+    kinds = ["view", "error", "click", "purchase", "signup"]
+    rows = [(k, k // 5, kinds[k % 5], f'{{"k": {k % 29}}}') for k in [*range(100), *range(4000, 4300), *range(90_000, 90_200)]]
+    sf = tables(events=(rows, "event_id long, user_id long, event_type string, props string"))
+    spans = [(user % 20, k, k * 7 % 5000, k * 7 % 5000 + k % 29 % 30, kind) for k, user, kind, _ in rows]
+    a, b = [s for s in spans if s[4] in ("view", "click")], [s for s in spans if s[4] in ("error", "purchase")]
+    met = {(x[0], x[1], y[1]) for x in a for y in b if x[0] == y[0] and x[2] < x[3] and max(x[2], y[2]) < min(x[3], y[3])}
+    assert {tuple(r) for r in registry.QUERIES["span_overlap"](spark, sf).select("page", "a_id", "b_id").collect()} == met
+    assert any(x >= 4000 for _, x, _ in met)
+    assert {r.id for r in registry.QUERIES["span_anti"](spark, sf).collect()} == {x[1] for x in a} - {x for _, x, _ in met}
+
+
+def test_follow_links_reads_every_link(spark, tables):
+    sf = tables(part=([(1_031,), (1_043,)], "p_partkey long"), nation=([(k,) for k in range(25)], "n_nationkey long"))
+    got = {(r.institution, r.url, r.hop) for r in registry.QUERIES["follow_links"](spark, sf).collect()}
+    starts = {k: k * 31 % 200 for k in range(25)}
+    links = {p % 200: p * 7 % 211 for p in (1_031, 1_043)}
+    assert got == {(k, u, 0) for k, u in starts.items()} | {(k, links[u], 1) for k, u in starts.items() if u in links} | {(k, links[links[u]], 2) for k, u in starts.items() if u in links and links[u] in links}
+    assert {(1, 43, 1), (1, 127, 2)} <= got

@@ -108,7 +108,7 @@ def iso_partial_period(spark, sf):
 
 
 def year_candidates(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.concat_ws(" ", F.substring("text", 1, 40), F.concat(F.lit("in "), (2010 + F.col("doc_id") % 25).cast("string"), F.lit(" and 12345, 2020.")), "lang").alias("t"))
+    d = table(spark, sf, "documents").select("doc_id", F.concat_ws(" ", F.coalesce("text", F.lit("")), F.concat(F.lit("in "), (2010 + F.col("doc_id") % 25).cast("string"), F.lit(" and 12345, 2020.")), "lang").alias("t"))
     return d.select("doc_id", F.explode(dates.years_in(F.col("t"))).alias("year")).groupBy("year").agg(F.count(F.lit(1)).alias("n"))
 
 

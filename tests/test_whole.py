@@ -108,3 +108,12 @@ def test_follow_links_reads_every_link(spark, tables):
     links = {p % 200: p * 7 % 211 for p in (1_031, 1_043)}
     assert got == {(k, u, 0) for k, u in starts.items()} | {(k, links[u], 1) for k, u in starts.items() if u in links} | {(k, links[links[u]], 2) for k, u in starts.items() if u in links and links[u] in links}
     assert {(1, 43, 1), (1, 127, 2)} <= got
+
+
+def test_year_candidates_reads_whole_texts(spark, tables):
+    texts = ["x" * 50 + " in 2016, 2031 and 12017; 2016", None, "2018 " + "word " * 5000 + "2019"]
+    sf = tables(documents=documents(*texts))
+    want = Counter([2016, 2016, 2018, 2019])
+    for k in range(len(texts)):
+        want.update(y for y in (2010 + k % 25, 2020) if 2015 <= y <= 2030)
+    assert {r.year: r.n for r in registry.QUERIES["year_candidates"](spark, sf).collect()} == want

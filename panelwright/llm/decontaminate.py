@@ -85,29 +85,42 @@ class Items:
         self.seed = [[counts[code] <= limit[k] for k, _ in places] for code, places in enumerate(self.places)]
 
     def matches(self, words: list[str]) -> list[tuple[float, int, int, int, int]]:
-        """(coverage, item number, score, first word, end word) of each item that a seed brings, best place only."""
+        """(coverage, item number, score, first word, end word) of items that a seed brings, best place of each.
+
+        Places are aligned from the highest bound() down, to where the bounds
+        fall under both COVERAGE and the best coverage found: what is left
+        out is neither contaminated nor the best.
+        """
         at, code = self.hits(words)
         near: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        grams: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for p, c in zip(at.tolist(), code.tolist()):
             for (k, item_at), seed in zip(self.places[c], self.seed[c]):
-                grams[k].append((p, c))
                 if seed:
                     slack = len(self.words[k]) // 2 + 5
                     near[k].append((max(0, p - item_at - slack), p - item_at + len(self.words[k]) + slack))
-        out = []
-        for k, windows in near.items():
-            best = None
-            for start, end in _cut(_merged(windows), len(self.words[k])):
-                shared = {c for p, c in grams[k] if start <= p < end}
-                if len(shared) < max(1, len(self.words[k]) // 5 - 2):
-                    continue
-                found = self.align(k, words[start:end])
-                found = (found[0], k, found[1], start + found[2], start + found[3])
-                best = max(best or found, found, key=lambda f: (f[0], f[2], -f[3]))
-            if best:
-                out.append(best)
-        return out
+        places = [(self.bound(k, words[start:end]), k, start, end) for k, windows in near.items() for start, end in _cut(_merged(windows), len(self.words[k]))]
+        best: dict[int, tuple[float, int, int, int, int]] = {}
+        most = 0.0
+        for bound, k, start, end in sorted(places, key=lambda p: -p[0]):
+            if bound < min(COVERAGE, most):
+                break
+            found = self.align(k, words[start:end])
+            found = (found[0], k, found[1], start + found[2], start + found[3])
+            best[k] = max(best.get(k, found), found, key=lambda f: (f[0], f[2], -f[3]))
+            most = max(most, found[0])
+        return list(best.values())
+
+    def bound(self, k: int, text: list[str]) -> float:
+        """The longest common subsequence of item k and these words, as a share of the item: no alignment matches more words in order."""
+        masks: dict[str, int] = {}
+        for i, w in enumerate(self.words[k]):
+            masks[w] = masks.get(w, 0) | 1 << i
+        full = (1 << len(self.words[k])) - 1
+        rows = full
+        for mask in filter(None, map(masks.get, text)):
+            hit = rows & mask
+            rows = (rows + hit | rows - hit) & full
+        return (len(self.words[k]) - rows.bit_count()) / len(self.words[k])
 
     def align(self, k: int, text: list[str]) -> tuple[float, int, int, int]:
         """(coverage, score, first, end) of the best local alignment of item k with these words."""

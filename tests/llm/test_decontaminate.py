@@ -112,3 +112,33 @@ def test_long_windows_are_cut_without_losing_the_best_place():
     assert found[0][0] == 1.0 == items.align(0, text)[0] and text[found[0][3] : found[0][4]] == item
     pieces = dc._cut([(0, len(text))], 15)
     assert len(pieces) > 20 and pieces[-1][1] == len(text) and all(a[1] - b[0] >= 45 for a, b in zip(pieces, pieces[1:]))
+
+
+def test_repetitive_items_and_copies_with_many_insertions_are_found():
+    rng = random.Random(5)
+    refrain = "a b c ".split() * 20
+    items = dc.Items([(1, " ".join(refrain))])
+    assert items.matches(passage(rng, 30) + refrain + passage(rng, 30))[0][0] == 1.0
+    item = [f"w{k}" for k in range(60)]
+    copy = [f"y{k}" if k % 5 == 2 else w for k, w in enumerate(item)]
+    for at in range(56, 0, -7):
+        copy.insert(at, f"z{at}")
+    items = dc.Items([(1, " ".join(item))])
+    assert items.align(0, copy)[0] >= dc.COVERAGE and items.matches(copy)[0][0] == items.align(0, copy)[0]
+
+
+def test_left_out_places_change_no_result():
+    rng = random.Random(6)
+    few = WORDS[:12]
+    items = dc.Items([(k, " ".join(rng.choice(few) for _ in range(rng.randint(5, 30)))) for k in range(25)])
+    for _ in range(40):
+        text = [rng.choice(few) for _ in range(rng.randint(5, 80))] + edited(rng, items.words[rng.randrange(25)], 0.3)
+        got = items.matches(text)
+        for k in range(25):
+            assert items.bound(k, text) >= items.align(k, text)[0]
+        every = []
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(dc.Items, "bound", lambda *_: 1.0)
+            every = items.matches(text)
+        best = lambda found: max(((f[0], f[2], -f[1]) for f in found), default=None)
+        assert best(got) == best(every) and {f[1] for f in got if f[0] >= dc.COVERAGE} == {f[1] for f in every if f[0] >= dc.COVERAGE}

@@ -128,9 +128,9 @@ def _tables(words: DataFrame, code: Code) -> tuple[list[np.ndarray], list[np.nda
 
 
 def _facts(mixer: Mixer, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Per word its static probability and that of its first two bytes, and a number for these two bytes."""
+    """Per word log10 of its static probability and of that of its first two bytes, and a number for these two bytes."""
     whole, start = mixer.log10(words) if words else (np.zeros(0), np.zeros(0))
-    return np.stack([10.0 ** np.maximum(whole, -290), 10.0**start], 1), np.array([int.from_bytes((w + b" ")[:2]) for w in words], np.int64)
+    return np.stack([whole, start], 1), np.array([int.from_bytes((w + b" ")[:2]) for w in words], np.int64)
 
 
 class Model:
@@ -194,6 +194,11 @@ def adapted(ids: np.ndarray, starts: np.ndarray, spelling: np.ndarray, start_p:
     ids and starts number each word and its first two bytes (both below
     2^31); spelling and start_p are the static probabilities of the two.
     """
+    return adapted_logs(ids, starts, np.log10(spelling), np.log10(start_p), sizes)
+
+
+def adapted_logs(ids: np.ndarray, starts: np.ndarray, spelling: np.ndarray, start_p: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """adapted() with log10 of the static probabilities, which may be too small for a float."""
     begins = np.cumsum(sizes) - sizes
     doc = np.repeat(np.arange(len(sizes)), sizes) << 31
     t = np.arange(len(ids)) - np.repeat(begins, sizes)
@@ -201,8 +206,10 @@ def adapted(ids: np.ndarray, starts: np.ndarray, spelling: np.ndarray, start_p:
     new = (k == 0).astype(float)
     news = np.cumsum(new) - new
     news -= np.repeat(news[begins], sizes)
-    s = (_before(doc | starts, new) + START_RATE * start_p) / (news + START_RATE) * (spelling / start_p)
-    totals = np.stack([np.add.reduceat(np.log10((k + r * s) / (t + r)), begins) for r in RATES])
+    s = np.log10((_before(doc | starts, new) + START_RATE * 10.0**start_p) / (news + START_RATE)) + (spelling - start_p)
+    # A new word's r s(w) stays a logarithm; beside a count of one or more, what a float loses of it is nothing.
+    apart, share = np.where(k == 0, s, 0.0), 10.0 ** np.where(k == 0, 0.0, s)
+    totals = np.stack([np.add.reduceat(np.log10((k + r * share) / (t + r)) + apart, begins) for r in RATES])
     best = totals.max(0)
     return best + np.log10(np.mean(10.0 ** (totals - best), 0))
 
@@ -249,7 +256,7 @@ def score(docs: DataFrame, model: Model, words: DataFrame, keys: list[Column], t
             begins = np.cumsum(sizes) - sizes
             total = np.add.reduceat(found, begins) if len(sizes) else ()
             n_rare = np.add.reduceat(rare.astype(np.int64), begins) if len(sizes) else ()
-            scores = adapted(ids, starts[ids], facts[ids, 0], facts[ids, 1], sizes) if len(sizes) else ()
+            scores = adapted_logs(ids, starts[ids], facts[ids, 0], facts[ids, 1], sizes) if len(sizes) else ()
             doc = np.repeat(np.arange(len(sizes)), sizes)[rare]
             pairs, times = np.unique(doc << 31 | ids[rare], return_counts=True)
             offsets = np.searchsorted(pairs >> 31, np.arange(len(sizes) + 1)).astype(np.int32)

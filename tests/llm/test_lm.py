@@ -127,3 +127,18 @@ def test_odd_rows(spark):
     nothing, none = lm.fit(docs.limit(0).select("text"))
     got = lm.score(docs, nothing, none, [F.col("doc_id")], F.col("text")).collect()
     assert len(got) == 7 and all(r.n_known == 0 and np.isfinite(r.base_score + r.score) and r.train_tokens == 0 for r in got)
+
+
+def test_every_byte_of_a_long_word_counts():
+    rng = random.Random(7)
+    _, mixer = trained([b"ab", b"abc", b"b", b""], np.array([40.0, 20, 10, 30]))
+    long = bytes(rng.randrange(33, 127) for _ in range(3000))
+    words = [long[:200], long[:1000], long, b""]
+    facts, starts = lm._facts(mixer, words)
+    whole = mixer.log10(words)[0]
+    ids = np.array([0, 3, 1, 3, 2, 3, 2, 2, 3])
+    got = lm.adapted_logs(ids, starts[ids], facts[ids, 0], facts[ids, 1], np.array([2, 2, 2, 3]))
+    assert whole[2] < whole[1] < -300
+    assert got[1] - got[0] == pytest.approx(whole[1] - whole[0]) and got[2] - got[1] == pytest.approx(whole[2] - whole[1])
+    # The second time the word is known, and costs no more than its place in the count.
+    assert got[3] == pytest.approx(got[2], abs=5)

@@ -12,8 +12,23 @@ document's own history then adapts it: after t words of which k were w,
 P(w) = (k + r s(w)) / (t + r). Four rates r run side by side as an online
 Bayesian mixture, so the better one for the document takes over. In s(w) the
 probability of the first two bytes is adapted likewise, to the beginnings of
-the document's new words so far (which tells its language). All of this is a proper distribution over word sequences; divided by the text's bytes its
-negative log2 is the bits per byte.
+the document's new words so far (which tells its language).
+
+Across words, a hashed context of three words predicts what follows it. A text
+is cut after each run of CONTEXT words whose hash falls in one of CUT classes
+(and after the first such run), so equal passages are cut alike wherever they
+stand. The predictor's table, gathered from all training texts, holds for each
+context the stretch up to the next cut that most training documents have
+there. One binary decision says whether the stretch at hand is that one:
+P(stretch) = p [it is] + (1 - p) P(its words). p is gated by the context's
+counts (how many documents, which share), set by an adaptive map counted over
+the training documents, and refined by the decisions of the document so far.
+A training document is never predicted by itself: it is taken out of the
+counts first. This table grows with the corpus; it is joined, not sent.
+
+All of this is a distribution over word sequences (stretches count as equal by
+a 64-bit hash); divided by the text's bytes its negative log2 is the bits per
+byte.
 
 The add-0.1 unigram base needs exact counts of all words. The TOP most
 frequent travel with the tasks (a fixed bound); the rest of a document's words
@@ -27,6 +42,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -42,6 +58,10 @@ WORDS_PER_TASK, PIECE = 400_000, 1 << 16
 START_RATE = 20.0
 #: Documents whose words are held at a time.
 ROWS = 200
+#: Words in a context, one cut in so many contexts, classes of the adaptive map by documents and by share, its own and the map's weight.
+CONTEXT, CUT, SUPPORTS, SHARES, MAP_PRIOR, MAP_RATE = 3, 16, 8, 10, 2.0, 1.0
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+_STEP = np.uint64(0xD6E8FEB86659FD93)
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _HELD = 200_000
 
@@ -92,7 +112,7 @@ def _tables(words: DataFrame, code: Code) -> tuple[list[np.ndarray], list[np.nda
             for at in range(0, n.shape[1], PIECE):
                 part = n[:, at : at + PIECE]
                 if part.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([at], pa.int64()), pa.array([press.compress(part.astype(np.int64).tobytes())], pa.binary())], ["k", "at", "part"])
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([at], pa.int64()), pa.array([press.compress(part.tobytes())], pa.binary())], ["k", "at", "part"])
 
     def add(frames):
         held, total = None, None
@@ -141,6 +161,7 @@ class Model:
         self.index = {w: k for k, w in enumerate(top)}
         self.logs = np.log10(np.array(list(top.values()), float) + 0.1)
         self.facts, self.starts = _facts(mixer, list(top))
+        self.hashes = hashes_of(list(top))
 
 
 def fit(texts: DataFrame) -> tuple[Model, DataFrame]:
@@ -197,44 +218,82 @@ def adapted(ids: np.ndarray, starts: np.ndarray, spelling: np.ndarray, start_p:
     return adapted_logs(ids, starts, np.log10(spelling), np.log10(start_p), sizes)
 
 
-def adapted_logs(ids: np.ndarray, starts: np.ndarray, spelling: np.ndarray, start_p: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """adapted() with log10 of the static probabilities, which may be too small for a float."""
+def adapted_logs(ids: np.ndarray, starts: np.ndarray, spelling: np.ndarray, start_p: np.ndarray, sizes: np.ndarray, ends: np.ndarray | None = None) -> np.ndarray:
+    """adapted() with log10 of the static probabilities, which may be too small for a float.
+
+    Where ``ends`` gives places of words (ascending, with each document's
+    last one): log10 of the words of a document up to each of them.
+    """
     begins = np.cumsum(sizes) - sizes
-    doc = np.repeat(np.arange(len(sizes)), sizes) << 31
-    t = np.arange(len(ids)) - np.repeat(begins, sizes)
-    k = _before(doc | ids, np.ones(len(ids)))
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    t = np.arange(len(ids)) - begins[doc]
+    k = _before(doc << 31 | ids, np.ones(len(ids)))
     new = (k == 0).astype(float)
     news = np.cumsum(new) - new
-    news -= np.repeat(news[begins], sizes)
-    s = np.log10((_before(doc | starts, new) + START_RATE * 10.0**start_p) / (news + START_RATE)) + (spelling - start_p)
+    news -= news[begins][doc]
+    s = np.log10((_before(doc << 31 | starts, new) + START_RATE * 10.0**start_p) / (news + START_RATE)) + (spelling - start_p)
     # A new word's r s(w) stays a logarithm; beside a count of one or more, what a float loses of it is nothing.
     apart, share = np.where(k == 0, s, 0.0), 10.0 ** np.where(k == 0, 0.0, s)
-    totals = np.stack([np.add.reduceat(np.log10((k + r * share) / (t + r)) + apart, begins) for r in RATES])
+    ends = begins + sizes - 1 if ends is None else ends
+    totals = np.empty((len(RATES), len(ends)))
+    for n, r in enumerate(RATES):
+        whole = np.cumsum(np.log10((k + r * share) / (t + r)) + apart)
+        totals[n] = whole[ends] - np.where(begins > 0, whole[begins - 1], 0.0)[doc[ends]]
     best = totals.max(0)
     return best + np.log10(np.mean(10.0 ** (totals - best), 0))
 
 
-SCHEMA = "row_no long, n_tokens long, top_known long, top_log double, score double, rare array<struct<word:string,n:long>>"
+def hashes_of(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
-def score(docs: DataFrame, model: Model, words: DataFrame, keys: list[Column], text: Column) -> DataFrame:
-    """The key columns, n_tokens, n_known, train_tokens, base_score, score.
-
-    Null and empty texts are one token, the end; repeated rows are rows of
-    their own; an empty table gives no rows; other columns are not read.
+def stretches(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of documents as word hashes one after the other: each stretch's document, last word, hash and the hash of the context before it (0: none)."""
+    n = len(hashes)
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    begins = np.cumsum(sizes) - sizes
+    t = np.arange(n) - begins[doc]
+    context = hashes * _MIX[0]
+    for back in range(1, CONTEXT):
+        context[back:] += hashes[:-back] * _MIX[back]
+    context ^= context >> np.uint64(31)
+    context *= _STEP
+    last = np.zeros(n, bool)
+    last[begins + sizes - 1] = True
+    ends = np.flatnonzero(last | (t == CONTEXT - 1) | ((t >= CONTEXT) & (context >> np.uint64(32) < np.uint64((1 << 32) // CUT))))
+    first = np.concatenate([np.zeros(1, np.int64), ends[:-1] + 1])[: len(ends)]
+    lengths = ends - first + 1
+    powers = np.multiply.accumulate(np.full(int(lengths.max(initial=0)) + 1, _STEP))
+    whole = np.add.reduceat(hashes * powers[np.arange(n) - np.repeat(first, lengths)], first) if n else hashes
+    before = np.where(t[first] > 0, context[first - 1], np.uint64(0))
+    return doc[ends], ends, whole, before
+
+
+SCHEMA = "row_no long, n_bytes long, n_tokens long, top_known long, top_log double, score double, rare array<struct<word:string,n:long>>, stretches array<struct<context:long,stretch:long,log:double>>"
+
+
+def score(docs: DataFrame, model: Model, words: DataFrame, keys: list[Column], text: Column, learned: Column | None = None) -> DataFrame:
+    """The key columns, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
+
+    ``learned`` is true for the training texts among ``docs``: the table of
+    contexts is gathered from them. Without it no context crosses a word.
+    Null and empty texts are one token, the end, and have null bits per byte;
+    a null ``learned`` counts as false; repeated rows are rows of their own;
+    an empty table gives no rows; other columns are not read.
     """
-    rows = docs.select(*keys, text.alias("text_"))
-    names = rows.columns[:-1]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    rows = docs.select(*keys, text.alias("text_"), F.coalesce(F.lit(False) if learned is None else learned, F.lit(False)).alias("learned_"))
+    names = rows.columns[:-2]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-2])
 
     def scored(batches):
         mixer, n_top = model.mixer, len(model.index)
         number = TaskContext.get().partitionId() << 33
-        facts, starts = np.zeros((n_top + REMEMBERED, 2)), np.zeros(n_top + REMEMBERED, np.int64)
-        facts[:n_top], starts[:n_top] = model.facts, model.starts
+        facts, starts, hashes = np.zeros((n_top + REMEMBERED, 2)), np.zeros(n_top + REMEMBERED, np.int64), np.zeros(n_top + REMEMBERED, np.uint64)
+        facts[:n_top], starts[:n_top], hashes[:n_top] = model.facts, model.starts, model.hashes
         index, others = model.index, []  # others: the words of the rows from n_top on
         for batch in sliced(batches, ROWS):
-            split = [[*words_of(t), b""] for t in batch.column(len(names)).cast(pa.binary()).to_pylist()]
+            texts = batch.column(len(names)).cast(pa.binary()).to_pylist()
+            split = [[*words_of(t), b""] for t in texts]
             fresh = list({w for ws in split for w in ws if w not in index})
             if len(others) + len(fresh) > len(facts) - n_top:  # forget all but the TOP words
                 for w in others:
@@ -242,10 +301,12 @@ def score(docs: DataFrame, model: Model, words: DataFrame, keys: list[Column], t
                 others = []
                 fresh = list({w for ws in split for w in ws if w not in index})
                 if len(fresh) > len(facts) - n_top:
-                    facts, starts = np.resize(facts, (n_top + 2 * len(fresh), 2)), np.resize(starts, n_top + 2 * len(fresh))
+                    size = n_top + 2 * len(fresh)
+                    facts, starts, hashes = np.resize(facts, (size, 2)), np.resize(starts, size), np.resize(hashes, size)
             if fresh:
                 rows_ = slice(n_top + len(others), n_top + len(others) + len(fresh))
                 facts[rows_], starts[rows_] = _facts(mixer, fresh)
+                hashes[rows_] = hashes_of(fresh)
                 index.update(zip(fresh, range(rows_.start, rows_.stop)))
                 others += fresh
             sizes = np.fromiter(map(len, split), np.int64, len(split))
@@ -256,7 +317,12 @@ def score(docs: DataFrame, model: Model, words: DataFrame, keys: list[Column], t
             begins = np.cumsum(sizes) - sizes
             total = np.add.reduceat(found, begins) if len(sizes) else ()
             n_rare = np.add.reduceat(rare.astype(np.int64), begins) if len(sizes) else ()
-            scores = adapted_logs(ids, starts[ids], facts[ids, 0], facts[ids, 1], sizes) if len(sizes) else ()
+            owner, ends, whole, before = stretches(hashes[ids], sizes)
+            to_end = adapted_logs(ids, starts[ids], facts[ids, 0], facts[ids, 1], sizes, ends) if len(sizes) else np.zeros(0)
+            lasts = np.searchsorted(owner, np.arange(len(sizes)), side="right") - 1
+            told = np.flatnonzero(before)
+            cuts = np.searchsorted(owner[told], np.arange(len(sizes) + 1)).astype(np.int32)
+            parts = pa.StructArray.from_arrays([pa.array(before[told].view(np.int64)), pa.array(whole[told].view(np.int64)), pa.array(to_end[told] - to_end[told - 1])], ["context", "stretch", "log"])
             doc = np.repeat(np.arange(len(sizes)), sizes)[rare]
             pairs, times = np.unique(doc << 31 | ids[rare], return_counts=True)
             offsets = np.searchsorted(pairs >> 31, np.arange(len(sizes) + 1)).astype(np.int32)
@@ -265,13 +331,40 @@ def score(docs: DataFrame, model: Model, words: DataFrame, keys: list[Column], t
             numbers = number + np.arange(len(sizes))
             number += len(sizes)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(k) for k in range(len(names))), pa.array(numbers, pa.int64()), pa.array(sizes), pa.array(sizes - n_rare, pa.int64()), pa.array(total, pa.float64()), pa.array(scores, pa.float64()), lists],
-                [*names, "row_no", "n_tokens", "top_known", "top_log", "score", "rare"],
+                [*(batch.column(k) for k in range(len(names))), batch.column(len(names) + 1), pa.array(numbers, pa.int64()), pa.array([len(t or b"") for t in texts], pa.int64()), pa.array(sizes), pa.array(sizes - n_rare, pa.int64()), pa.array(total, pa.float64()), pa.array(to_end[lasts], pa.float64()), lists, pa.ListArray.from_arrays(pa.array(cuts), parts)],
+                [*names, "learned_", "row_no", "n_bytes", "n_tokens", "top_known", "top_log", "score", "rare", "stretches"],
             )
 
-    done = written(rows.mapInArrow(scored, f"{schema}, {SCHEMA}"), "scored")
+    done = written(rows.mapInArrow(scored, ", ".join(filter(None, [schema, "learned_ boolean", SCHEMA]))), "scored")
     rare = done.select("row_no", F.explode("rare").alias("r")).select("row_no", F.col("r.word").alias("word"), F.col("r.n").alias("times"))
     c = F.coalesce("c", F.lit(0))
     looked = rare.join(words, "word", "left").groupBy("row_no").agg(F.sum(F.col("times") * F.log10(c + 0.1)).alias("rare_log"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("rare_known"))
     base = F.col("top_log") + F.coalesce("rare_log", F.lit(0.0)) - F.col("n_tokens") * F.log10(F.lit(model.n + 0.1 * (model.v + 1)))
-    return done.drop("rare").join(looked, "row_no", "left").select(*[F.col(f"`{n}`") for n in names], "n_tokens", (F.col("top_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    out = done.drop("rare", "stretches").join(looked, "row_no", "left").join(_gains(done), "row_no", "left").withColumn("score", F.col("score") + F.coalesce("gain", F.lit(0.0)))
+    bits = F.when(F.col("n_bytes") > 0, -F.col("score") * float(np.log2(10)) / F.col("n_bytes"))
+    return out.select(*[F.col(f"`{n}`") for n in names], "n_tokens", (F.col("top_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"), base.alias("base_score"), "score", bits.alias("bits_per_byte"))
+
+
+def _gains(done: DataFrame) -> DataFrame:
+    """(row_no, gain): what the contexts of the training texts add to log10 of a document, for documents that meet any."""
+    # A stretch counts once a document, so that a document can be taken out of the counts again.
+    once = done.where("learned_").select(F.explode(F.array_distinct(F.transform("stretches", lambda s: F.struct(s["context"].alias("context"), s["stretch"].alias("stretch"))))).alias("s"))
+    pairs = once.groupBy("s.context", "s.stretch").agg(F.count(F.lit(1)).alias("n"))
+    table = pairs.groupBy("context").agg(F.max(F.struct("n", "stretch")).alias("best"), F.sum("n").alias("all"))
+    placed = done.select("row_no", "learned_", F.posexplode("stretches").alias("place", "s")).select("row_no", "learned_", "place", F.col("s.context").alias("context"), F.col("s.stretch").alias("stretch"), F.col("s.log").alias("log"))
+    hit, own = F.col("stretch") == F.col("best.stretch"), F.col("learned_").cast("int")
+    n, others = F.col("best.n") - F.when(hit, own).otherwise(0), F.col("all") - own
+    cell = (F.least(n, F.lit(SUPPORTS)) - 1) * SHARES + F.least(F.floor(SHARES * n / others), F.lit(SHARES - 1))
+    met = placed.join(table, "context").where(n > 0).select("row_no", "learned_", F.struct("place", cell.cast("int").alias("cell"), hit.alias("hit"), "log").alias("d"))
+    told = written(met.groupBy("row_no").agg(F.first("learned_").alias("learned_"), F.array_sort(F.collect_list("d")).alias("decisions")), "decisions")
+    seen = told.where("learned_").select(F.explode("decisions").alias("d")).groupBy("d.cell").agg(F.sum(F.col("d.hit").cast("long")).alias("hits"), F.count(F.lit(1)).alias("n")).collect()  # at most SUPPORTS * SHARES rows
+    of_cell = {r["cell"]: (r["hits"] + MAP_PRIOR * (r["cell"] % SHARES + 0.5) / SHARES) / (r["n"] + MAP_PRIOR) for r in seen}
+    prior = F.array(*[F.lit(float(of_cell.get(k, (k % SHARES + 0.5) / SHARES))) for k in range(SUPPORTS * SHARES)])
+
+    def decided(acc, d):
+        p = F.least(F.greatest((acc["hits"] + MAP_RATE * F.get(prior, d["cell"])) / (acc["n"] + MAP_RATE), F.lit(1e-4)), F.lit(1 - 1e-4))
+        gain = F.when(d["hit"], F.log10(p + (1 - p) * F.pow(F.lit(10.0), d["log"])) - d["log"]).otherwise(F.log10(1 - p))
+        return F.struct((acc["hits"] + d["hit"].cast("double")).alias("hits"), (acc["n"] + 1).alias("n"), (acc["gain"] + gain).alias("gain"))
+
+    start = F.struct(F.lit(0.0).alias("hits"), F.lit(0.0).alias("n"), F.lit(0.0).alias("gain"))
+    return told.select("row_no", F.aggregate("decisions", start, decided)["gain"].alias("gain"))

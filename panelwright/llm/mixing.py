@@ -125,11 +125,11 @@ class Counts:
     """How often each slot's decision went each way."""
 
     def __init__(self, code: Code):
-        self.code, self.n = code, [np.zeros((2, 1 << b), np.float32) for b in BITS]
+        self.code, self.n = code, [np.zeros((2, 1 << b), np.int64) for b in BITS]
 
     def add(self, words: list[bytes], times: np.ndarray) -> None:
         for start, d in passes(words, self.code):
-            often = times[start : start + int(d.word[-1]) + 1].astype(np.float32)[d.word]
+            often = times[start : start + int(d.word[-1]) + 1].astype(np.int64)[d.word]
             for n, slots in zip(self.n, d.slots):
                 np.add.at(n.reshape(-1), d.bit * n.shape[1] + slots, often)
 

@@ -71,7 +71,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = _table(spark, sf_dir, "documents"), held_out("doc_id", 10, 0)
     model, words = lm.fit(docs.where(~held).select("text"))
-    return lm.score(docs, model, words, [F.col("doc_id"), held.alias("held_out")], F.col("text"))
+    return lm.score(docs, model, words, [F.col("doc_id"), held.alias("held_out")], F.col("text"), ~held)
 
 
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

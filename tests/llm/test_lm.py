@@ -10,6 +10,7 @@ from itertools import product
 import numpy as np
 import pytest
 from panelwright.llm import lm, mixing, queries
+from panelwright.llm.common import held_out
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -142,3 +143,102 @@ def test_every_byte_of_a_long_word_counts():
     assert got[1] - got[0] == pytest.approx(whole[1] - whole[0]) and got[2] - got[1] == pytest.approx(whole[2] - whole[1])
     # The second time the word is known, and costs no more than its place in the count.
     assert got[3] == pytest.approx(got[2], abs=5)
+
+
+def plain_scores(rows, model):
+    """log10 of each text by the printed rules, one document after the other: (id, text, learned) to (id, score)."""
+    spelled, parts = {}, {}
+    for i, text, _ in rows:
+        ws = lm.words_of(None if text is None else text.encode()) + [b""]
+        for w in ws:
+            if w not in spelled:
+                facts, starts = lm._facts(model.mixer, [w])
+                spelled[w] = (facts[0, 0], facts[0, 1], int(starts[0]))
+        seen, begun, new = Counter(), Counter(), 0
+        logs, to_here = [0.0] * len(lm.RATES), []
+        for t, w in enumerate(ws):
+            whole, start, key = spelled[w]
+            s = math.log10((begun[key] + lm.START_RATE * 10**start) / (new + lm.START_RATE)) + whole - start
+            logs = [x + (math.log10((seen[w] + r * 10**s) / (t + r)) if seen[w] else math.log10(r / (t + r)) + s) for x, r in zip(logs, lm.RATES)]
+            best = max(logs)
+            to_here.append(best + math.log10(sum(10 ** (x - best) for x in logs) / len(logs)))
+            if not seen[w]:
+                begun[key] += 1
+                new += 1
+            seen[w] += 1
+        _, ends, whole, before = lm.stretches(lm.hashes_of(ws), np.array([len(ws)]))
+        parts[i] = (to_here[-1], [(int(c), int(x), to_here[e] - to_here[e0]) for c, x, e, e0 in zip(before, whole, ends, [0, *ends]) if c])
+    table = {}
+    for i, _, learned in rows:
+        if learned:
+            for c, x in {(c, x) for c, x, _ in parts[i][1]}:
+                table.setdefault(c, Counter())[x] += 1
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    told = {}
+    for i, _, learned in rows:
+        told[i] = []
+        for c, x, log in parts[i][1]:
+            if c in table:
+                best, n = max(table[c].items(), key=lambda p: (p[1], signed(p[0])))
+                n, others = n - (learned and x == best), sum(table[c].values()) - learned
+                if n > 0:
+                    told[i].append((min(n, lm.SUPPORTS) - 1, min(lm.SHARES * n // others, lm.SHARES - 1), x == best, log))
+    hits, all_ = Counter(), Counter()
+    for i, _, learned in rows:
+        for a, b, hit, _ in told[i] if learned else ():
+            hits[a, b] += hit
+            all_[a, b] += 1
+    out = {}
+    for i, _, _ in rows:
+        k = n = 0
+        score = parts[i][0]
+        for a, b, hit, log in told[i]:
+            prior = (hits[a, b] + lm.MAP_PRIOR * (b + 0.5) / lm.SHARES) / (all_[a, b] + lm.MAP_PRIOR) if all_[a, b] else (b + 0.5) / lm.SHARES
+            p = min(max((k + lm.MAP_RATE * prior) / (n + lm.MAP_RATE), 1e-4), 1 - 1e-4)
+            score += math.log10(p + (1 - p) * 10**log) - log if hit else math.log10(1 - p)
+            k, n = k + hit, n + 1
+        out[i] = score
+    return out
+
+
+def test_scores_against_the_rules_in_plain_python(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, r.text, zlib.crc32(str(r.doc_id).encode()) % 10 != 0) for r in docs.collect()]
+    learned = ~held_out("doc_id", 10, 0)
+    model, words = lm.fit(docs.where(learned).select("text"))
+    want = plain_scores(rows, model)
+    got = {r.doc_id: r for r in lm.score(docs, model, words, [F.col("doc_id")], F.col("text"), learned).collect()}
+    assert {i: r.score for i, r in got.items()} == pytest.approx(want, rel=1e-6)
+    sizes = {i: len((t or "").encode()) for i, t, _ in rows}
+    assert all(r.bits_per_byte == (pytest.approx(-r.score * math.log2(10) / sizes[i]) if sizes[i] else None) for i, r in got.items())
+
+
+def test_stretches_cut_alike_wherever_a_passage_stands():
+    rng = random.Random(4)
+    passage = [b"w%d" % rng.randrange(400) for _ in range(300)]
+    docs = [passage, [b"a", b"b", b"c", b"d", *passage, b"z"], [b"q", b"r"], [b""], [b"x"] * 50]
+    sizes = np.array([len(d) for d in docs])
+    owner, ends, whole, before = lm.stretches(np.concatenate([lm.hashes_of(d) for d in docs]), sizes)
+    assert [int(e) for e in ends if e + 1 in np.cumsum(sizes)] == (np.cumsum(sizes) - 1).tolist()
+    of = [set(zip(before[owner == k].tolist(), whole[owner == k].tolist())) - {(0, w) for w in whole.tolist()} for k in range(5)]
+    assert len(of[0]) > 8 and len(of[0] & of[1]) >= len(of[0]) - 3 and not of[0] & of[4]
+    assert (before[owner == 2] == 0).all() and (before[owner == 3] == 0).all()
+    alone = lm.stretches(lm.hashes_of(docs[1]), sizes[1:2])
+    assert (alone[2] == whole[owner == 1]).all() and (alone[3] == before[owner == 1]).all()
+
+
+def test_a_passage_of_the_training_texts_scores_apart(spark):
+    rng = random.Random(6)
+    words = [f"{a}{b}{c}" for a in "bdfg" for b in "aeiou" for c in "lmnrst"]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    passage = say(200)
+    train = [say(200) for _ in range(60)] + [passage]
+    other = say(200)
+    shuffled = passage.split()
+    rng.shuffle(shuffled)
+    test = [passage, " ".join(shuffled), say(20) + " " + passage[: len(passage) // 2], other]
+    docs = spark.createDataFrame([(k, t, k < len(train)) for k, t in enumerate(train + test)], "doc_id long, text string, learned boolean")
+    model, counts = lm.fit(docs.where("learned").select("text"))
+    got = {r.doc_id: r.bits_per_byte for r in lm.score(docs, model, counts, [F.col("doc_id")], F.col("text"), F.col("learned")).collect()}
+    n = len(train)
+    assert got[n] < 0.5 * got[n + 1] and got[n + 2] < 0.8 * got[n + 3] and got[n - 1] > 0.9 * got[0]  # a training text is not told by itself

@@ -61,3 +61,31 @@ def test_whole_table(spark):
     rows = [(r.vec_id, [math.floor(64 * x) for x in r.embedding]) for r in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").collect()]
     got = queries.op10_topk(spark, "/root/testdata/sf0.001").collect()
     assert sorted(map(tuple, got)) == brute(rows, [r for r in rows if r[0] % 20 == 0], 20)
+
+
+def test_large_finite_components_take_part(spark):
+    rows = [(0, [1e30, 1.0]), (1, [1e8, 1.0]), (2, [-1e30, 2.0]), (3, [3.5, 4.0]), (20, [1.0, -2.0]), (40, [1e8, 3.0]), (60, [1e15, -1e15])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(df.select("vec_id", topk.quantized(F.col("embedding")).alias("vec")), df.where("vec_id % 20 = 0").select("vec_id", topk.quantized(F.col("embedding")).alias("vec")), 3).collect()
+    clip = lambda x, most: max(-(2**63), min(most, x))
+    whole = {i: [clip(math.floor(64 * x), 2**63 - 1024) for x in v] for i, v in rows}
+    want = []
+    for q in (0, 20, 40, 60):
+        scored = sorted((-clip(sum(a * b for a, b in zip(whole[q], v)), 2**63 - 1), i) for i, v in whole.items() if i != q)
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:3])]
+    assert sorted(map(tuple, got)) == want
+
+
+def test_a_repeated_query_id_asks_with_its_least_vector(spark):
+    df = spark.createDataFrame([(20, [5, 1]), (20, [1, 9]), (1, [3, 0]), (2, [0, 3])], "vec_id long, vec array<long>")
+    assert [tuple(r) for r in topk.top_k(df, df.where("vec_id = 20"), 1).collect()] == [(20, 1, 2, 27)]
+
+
+def test_products_are_exact():
+    import numpy as np
+
+    rng = random.Random(5)
+    a = np.array([[rng.randint(-(2**e), 2**e) for _ in range(5)] for e in (3, 20, 30, 45, 62)])
+    b = np.array([[rng.randint(-(2**e), 2**e) for _ in range(5)] for e in (3, 20, 30, 45, 62) for _ in range(4)] + [[-(2**63)] * 5])
+    want = [[max(-(2**63), min(2**63 - 1, sum(x * y for x, y in zip(p, q)))) for q in b.tolist()] for p in a.tolist()]
+    assert topk._products(a, b).tolist() == want

@@ -10,9 +10,10 @@ every link. A pair that meets in a key must keep the chain's budgets before
 its whole distance is counted.
 
 Scale: equal fingerprints are one row from the start, with a map-side minimum.
-Keys that only one fingerprint has are dropped in the shuffle that builds
-them. Inside a key all are first tested against one pivot; only pairs whose
-components still differ meet in a join, so a dense group of near copies costs
+A key's pivot is a map-side minimum too, so a key that a large group shares
+gathers no rows; plain joins with the table of shared keys, which adaptive
+execution splits, test all against their pivot. Only pairs whose components
+still differ meet in a further join, so a dense group of near copies costs
 links to pivots, not all its pairs.
 """
 
@@ -23,11 +24,11 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, sliced
-from .graph import components
+from ..operators.components import components
+from .common import cut, sliced, written
 
 SHINGLE, SEED, MOST = 4, 42, 4
 WIDTHS = (6, 6, 6, 6, 7, 6, 6, 7, 7, 7)
@@ -97,15 +98,9 @@ def linked(prints: DataFrame) -> DataFrame:
     """(fp, root) for the distinct fingerprints that have a link; root names the component."""
     keys = [F.struct(F.lit(s * len(PAIRS) + k).alias("slot"), F.col("fp").bitwiseAND(F.lit(_mask(s, (0, 1, *pair))).cast("long")).alias("key")) for s in range(len(WIDTHS)) for k, pair in enumerate(PAIRS)]
     start = (F.col("slot") / len(PAIRS)).cast("int")
-    group = Window.partitionBy("slot", "key")
-    shared = cut(
-        prints.select("fp", F.explode(F.array(*keys)).alias("at"))
-        .select("fp", "at.slot", "at.key")
-        .withColumn("pivot", F.min("fp").over(group))
-        .withColumn("last", F.max("fp").over(group))
-        .where("pivot < last")
-        .drop("last")
-    )
+    keyed = prints.select("fp", F.explode(F.array(*keys)).alias("at")).select("fp", "at.slot", "at.key")
+    pivots = written(keyed.groupBy("slot", "key").agg(F.min("fp").alias("pivot"), F.max("fp").alias("last")).where("pivot < last").drop("last"), "keys")
+    shared = cut(keyed.join(pivots, ["slot", "key"]))
     stars = shared.where(F.col("fp") > F.col("pivot")).where(_near(F.col("fp"), F.col("pivot"), start)).select(F.col("fp").alias("u"), F.col("pivot").alias("v")).distinct()
     stars = cut(stars)
     known = cut(components(stars))
@@ -117,38 +112,43 @@ def linked(prints: DataFrame) -> DataFrame:
     return components(stars.union(joined)).withColumnRenamed("node", "fp")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, fp, component_id (the least id reachable over links, itself included), keeper.
 
     - Texts are lower-cased (A-Z), cut at ASCII white space and read in
       4-word shingles, repeats included; fewer words are one shingle; no
       words (null or empty texts) give fingerprint 0, linked like any other.
-    - keeper: of a component's rows the one with the least (id, row_col),
-      where row_col names a column that tells repeated rows apart.
+    - keeper: the row has its component's least (id, fingerprint); rows
+      equal in both are all keepers.
     - Repeated rows get a row each; a null id never is a component's id
       unless all are null; an empty table gives no rows; other columns are
       not read.
     """
-    keys = [F.col(id_col).alias("doc_id")] + ([F.col(row_col).alias("row_no")] if row_col else [])
-    prints = cut(fingerprints(docs, keys, F.col(text_col)))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_no") if row_col else F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")
-    distinct = cut(prints.groupBy("fp").agg(F.min(order).alias("least")))
-    roots = distinct.join(linked(distinct.select("fp")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    roots = cut(roots)
-    least = roots.groupBy("root").agg(F.min("least").alias("kept"))
-    named = roots.select("fp", "root").join(least, "root").select("fp", "kept")
-    out = prints.join(named, "fp")
-    same = (F.col("row_no") == F.col("kept.row_no")) if row_col else (F.col("doc_id").eqNullSafe(F.col("kept.doc_id")))
-    return out.select("doc_id", *(["row_no"] if row_col else []), "fp", F.col("kept.doc_id").alias("component_id"), same.alias("keeper"))
+    prints = cut(fingerprints(docs, [F.col(id_col).alias("doc_id")], F.col(text_col)))
+    distinct = cut(prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("least")))
+    roots = written(distinct.join(linked(distinct.select("fp")), "fp", "left"), "roots")
+    alone = roots.where("root IS NULL").select("fp", F.col("least").alias("kept"))
+    grouped = roots.where("root IS NOT NULL")
+    least = written(grouped.groupBy("root").agg(F.min("least").alias("kept")), "least")
+    named = alone.union(grouped.join(least, "root").select("fp", "kept"))
+    same = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("fp") == F.col("kept.fp"))
+    return prints.join(named, "fp").select("doc_id", "fp", F.col("kept.doc_id").alias("component_id"), same.alias("keeper"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each component the document with the least id, with all its columns; of repeated rows the first stays.
+    """Of each component the document with the least (id, fingerprint), with all its columns.
 
-    Rows are told apart by their place in the scan, so ``docs`` must be a
-    table that reads the same way twice (as a written one does).
+    Rows are told apart by id alone, so nothing hangs on the order of a scan.
+    Ids that several rows share, some of them kept, are settled apart by
+    fingerprint; of rows equal in both the least by its JSON form stays.
     """
-    row = "row_no_of_this_scan"
-    rows = docs.withColumn(row, F.monotonically_increasing_id())
-    gone = cut(near_duplicates(rows, id_col, text_col, row).where(~F.col("keeper")).select(F.col("row_no").alias(row)))
-    return rows.join(gone, row, "left_anti").drop(row)
+    found = cut(near_duplicates(docs, id_col, text_col))
+    ids = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("keeper").alias("any"))
+    settled = written(ids.where("n > 1 OR NOT any"), "settled").withColumnRenamed("doc_id", "id_of_near_copies")
+    same = F.col(id_col).eqNullSafe(F.col("id_of_near_copies"))
+    plain = docs.join(settled.drop("n", "any"), same, "left_anti")
+    mixed = docs.join(settled.where("any").drop("n", "any"), same, "left_semi")
+    printed = fingerprints(mixed, [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")], F.col(text_col)).withColumn("id", F.col(f"row.`{id_col}`"))
+    kept = found.where("keeper").select(F.col("doc_id").alias("kept_id"), F.col("fp").alias("kept_fp")).distinct()
+    chosen = printed.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("fp") == F.col("kept_fp")), "left_semi")
+    return plain.union(chosen.groupBy("id", "fp").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*"))

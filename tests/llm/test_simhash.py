@@ -5,7 +5,8 @@ import re
 from itertools import combinations
 
 import xxhash
-from panelwright.llm import graph, queries, simhash
+from panelwright.llm import queries, simhash
+from panelwright.operators.components import components
 from pyspark.sql import functions as F
 
 
@@ -99,16 +100,20 @@ def test_near_duplicates(spark):
 
 
 def test_one_keeper_per_component(spark):
-    docs = spark.createDataFrame([(1, "a b c d e"), (1, "a b c d e"), (None, "a b c d e"), (2, "z")], "doc_id long, text string").withColumn("row", F.monotonically_increasing_id())
-    got = simhash.near_duplicates(docs, row_col="row").collect()
-    assert sorted(r.doc_id for r in got if r.keeper) == [1, 2] and len(got) == 4
+    rows = [(1, "a b c d e", "q"), (1, "a b c d e", "p"), (None, "a b c d e", "p"), (2, "z", "p"), (2, "a b c d e", "p"), (3, "y x", "p"), (1, "other words", "p"), (4, None, None), (None, "only here", None), (5, "Z", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string").repartition(3)
+    got = simhash.near_duplicates(docs).collect()
+    assert sorted((r.doc_id or 0) for r in got if r.keeper) == [0, 1, 1, 1, 2, 3, 4] and len(got) == len(rows)
+    one = sorted((r.doc_id or 0, r.text or "", r.fp or "") for r in simhash.one_of_each(docs).collect())
+    assert one == [(0, "only here", ""), (1, "a b c d e", "p"), (1, "other words", "p"), (2, "z", "p"), (3, "y x", "p"), (4, "", "")]
+    assert simhash.one_of_each(docs.limit(0)).count() == 0 and simhash.one_of_each(docs).columns == docs.columns
 
 
 def test_graph_components(spark):
     links = [(i, i + 1) for i in range(1, 60)] + [(100, k) for k in range(101, 400)] + [(500, 500), (None, 3), (7, 3)]
-    got = {r.node: r.root for r in graph.components(spark.createDataFrame(links, "u long, v long")).collect()}
+    got = {r.node: r.root for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
     assert got == {**{i: 1 for i in range(1, 61)}, **{i: 100 for i in range(100, 400)}, 500: 500}
-    assert graph.components(spark.createDataFrame([], "u long, v long")).count() == 0
+    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
 def test_whole_table(spark):

@@ -37,7 +37,9 @@ def text_parts(text: Column) -> Column:
 
 
 def _placeholder(part: Column, number: Column) -> Column:
-    return F.concat(F.lit("<|"), part["type"], F.lit(":"), number.cast("string"), F.lit("|>"))
+    """Only plain names are shown: a type can spell neither a control string nor the end of its own placeholder."""
+    shown = F.when(part["type"].rlike("^[A-Za-z0-9_-]{1,40}$"), part["type"]).otherwise(F.lit("part"))
+    return F.concat(F.lit("<|"), shown, F.lit(":"), number.cast("string"), F.lit("|>"))
 
 
 def _is_text(part: Column) -> Column:
@@ -52,7 +54,8 @@ def format_conversations(messages: DataFrame, id_col: str = "conv_id", turn_col:
       an empty content; a null id is a conversation of its own.
     - attachments: array of (number, type, ref, tokens) in order; number is
       the part's place in the conversation, from 1, as in its placeholder.
-    - Unknown part types count 1 token a unit and keep their type's name.
+    - Unknown part types count 1 token a unit; in the placeholder a type that
+      is no plain name (letters, digits, _ and -) is shown as "part".
     - An empty table gives no rows; other columns are ignored.
 
     A conversation is one output value, so its turns meet in one row; escape
@@ -67,19 +70,15 @@ def format_conversations(messages: DataFrame, id_col: str = "conv_id", turn_col:
         ).alias("message"),
     )
     talks = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("message")).alias("messages"))
-    #: Parts before each message, so that the visitor's numbers run through the conversation.
-    talks = talks.withColumn(
-        "starts",
-        F.aggregate("messages", F.array(F.lit(0)), lambda acc, m: F.concat(acc, F.array(F.element_at(acc, -1) + F.size(m["parts"])))),
-    )
 
-    def content(message: Column, at: Column) -> Column:
-        number = lambda i: F.get(F.col("starts"), at) + i + 1
-        return F.array_join(F.transform(message["parts"], lambda p, i: F.when(_is_text(p), p["text"]).otherwise(_placeholder(p, number(i)))), "")
+    def visited(message: Column, m: Column) -> Column:
+        """Head, parts and end of a message as pieces (text, part); m messages, so 2 m + 1 other pieces, stand before its parts."""
+        plain = lambda text: F.struct(text.alias("text"), F.lit(None).cast("string").alias("type"), m.alias("m"))
+        part = lambda p: F.struct(F.when(_is_text(p), p["text"]).alias("text"), p["type"].alias("type"), m.alias("m"))
+        return F.concat(F.array(plain(F.concat(F.lit(TURN), escaped(message["role"]), F.lit(SAYS)))), F.transform(message["parts"], part), F.array(plain(F.lit(END))))
 
-    formatted = F.array_join(
-        F.transform("messages", lambda m, at: F.concat(F.lit(TURN), escaped(m["role"]), F.lit(SAYS), content(m, at), F.lit(END))), ""
-    )
+    pieces = F.flatten(F.transform("messages", visited))
+    formatted = F.array_join(F.transform(pieces, lambda p, i: F.coalesce(p["text"], _placeholder(p, i - 2 * p["m"]))), "")
     per_unit = F.lit(1)
     numbered = F.transform(F.flatten(F.transform("messages", lambda m: m["parts"])), lambda p, i: F.struct((i + 1).alias("number"), p["type"].alias("type"), p["ref"].alias("ref"), (F.coalesce(p["units"], F.lit(1)) * _tokens(p["type"], per_unit)).alias("tokens")))
     return talks.select(

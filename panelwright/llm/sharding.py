@@ -5,8 +5,8 @@ per-partition totals gives every partition its offset, a running sum inside
 the partition gives every row its place, and the global byte axis is cut at
 equal targets. A row belongs to the shard in which its middle byte falls.
 
-Only three narrow columns ever move: the text is read once, reduced to its
-length and checksum, and never shuffled. No key is involved, so a hot source
+To assign shards only three narrow columns move: the text is read once,
+reduced to its length and checksum, and not shuffled. No key is involved, so a hot source
 or a large group of copies cannot gather in one task.
 """
 
@@ -69,6 +69,10 @@ def assign_shards(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_c
 
 
 def write_shards(docs: DataFrame, n_shards: int, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write whole rows as path/shard=K, each shard in slot order."""
+    """Write path/shard=K with the columns slot and row (the whole row, so no name can clash), in slot order over a shard's files.
+
+    Here, unlike in assign_shards, whole rows move, once: to the files of their shard.
+    """
     rows = assign_shards(docs.withColumn("row_", F.struct(*[F.col(f"`{c}`") for c in docs.columns])), n_shards, id_col, text_col, keep=("row_",))
-    rows.select("row_", "shard", "slot").sortWithinPartitions("shard", "slot").select("row_.*", F.col("shard").alias("shard_no"), "slot").write.partitionBy("shard_no").parquet(path)
+    placed = rows.select("shard", "slot", F.col("row_").alias("row"))
+    placed.repartitionByRange(n_shards, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

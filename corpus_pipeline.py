@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright.llm import decontaminate, pieces, pii, simhash, toxicity
-from panelwright.llm.common import held_out, written
+from panelwright.llm.common import held_out, sweep, written
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,10 +48,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's rows are written and reread as the next one's input."""
+    """All stages over documents; each stage's rows are written and reread as the next one's input.
+
+    What a stage and those before it wrote is deleted as soon as its own rows are.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for at, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if at < len(STAGES) - 1:
             docs = written(docs, name)
+            sweep(docs)
     return docs

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,45 +12,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-_WRITTEN: list[tuple[SparkSession, str]] = []
+from ..checkpoints import cut, shared_dir  # noqa: F401  (cut: for the operators)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the session names in spark.checkpoint.dir.
-
-    Where the session names none (tests on one machine), a temporary one is
-    made once and set.
-    """
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if sc.getCheckpointDir() is None:
-        named = named or tempfile.mkdtemp(prefix="panelwright-")
-        sc.setCheckpointDir(named)
-    return named or sc.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows with their lineage cut in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+_WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """The same rows as a Parquet table in the shared folder, smaller than a checkpoint; sweep() deletes such tables."""
+    """The same rows as a Parquet table in the shared folder, smaller than a checkpoint; sweep() deletes such tables, at the latest when Python ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not _WRITTEN:
+        atexit.register(sweep)
     _WRITTEN.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sweep() -> None:
-    """Delete what written() wrote in this process; DataFrames over it can't be read afterwards."""
-    while _WRITTEN:
-        spark, path = _WRITTEN.pop()
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+def sweep(*keep: DataFrame) -> None:
+    """Delete what written() wrote in this process, but for the tables ``keep``; DataFrames over the others can't be read afterwards."""
+    kept = [name.rsplit("/", 2)[-2] for df in keep for name in df.inputFiles()]
+    for spark, path in list(_WRITTEN):
+        if path.rsplit("/", 1)[-1] not in kept:
+            _WRITTEN.remove((spark, path))
+            if spark.sparkContext._jsc is not None:
+                where = spark._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def held_out(id_col: str, modulus: int, remainder: int):

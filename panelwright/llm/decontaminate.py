@@ -1,15 +1,22 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 A first pass counts in how many documents each benchmark n-gram occurs. The
-rarer half of an item's n-grams, by that count over all documents, are its
-seeds: a passage that itself leaked into many documents keeps seeds, common
-phrases do not become any. A second pass joins documents to items on seeds
-and aligns the item with the stretch of text around its seeds; coverage is
-the share of the item's words that the best local alignment matches exactly.
-
-The benchmark is the stated query set: it is read in blocks of about
-BLOCK_ITEMS items, each small enough for every task; documents are streamed
-and never shuffled. Only per-partition n-gram counts move.
+rarest of an item's n-grams, by that count over all documents, are its seeds:
+a passage that itself leaked into many documents keeps seeds, common phrases
+become few. A second pass joins documents to items on seeds and aligns the
+item with the stretch of text around its seeds; coverage is the share of the
+item's words that the best local alignment matches exactly.
+
+Recall: to stay at coverage c an item of m words can lose at most (1 - c) m of
+them. A replaced or missing word breaks at most GRAM n-grams, a word put in
+between breaks GRAM - 1, so an item has GRAM floor((1 - c) m) + 1 seeds: no
+choice of replaced and missing words that leaves the coverage hits all of
+them, nor do words put in at fewer than about a third of the places.
+
+The benchmark is the stated query set: it is read in blocks of at most about
+BLOCK_ITEMS items and BLOCK_BYTES of text, each small enough for every task;
+documents are streamed and never shuffled. Only per-partition n-gram counts
+move. Each block costs two scans of the documents.
 """
 
 from __future__ import annotations
@@ -24,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import kept_where, sliced
 
-GRAM, MIN_WORDS, COVERAGE, BLOCK_ITEMS = 3, 5, 0.8, 20_000
+GRAM, MIN_WORDS, COVERAGE, BLOCK_ITEMS, BLOCK_BYTES = 3, 5, 0.8, 20_000, 16 << 20
 #: Alignment scores of an equal word, a word with the same beginning, another word, a gap.
 EQUAL, ALIKE, UNEQUAL, GAP = 4, 1, -2, 2
 _WORD = re.compile(r"[^\W_]+")
@@ -45,43 +52,54 @@ class Items:
         self.base = len(vocabulary) + 1
         self.beginning = {b: k for k, b in enumerate(sorted({w[:4] for w in vocabulary if len(w) >= 4}), 1)}
         self.coded = [np.array([self.number[w] for w in ws], np.int64) for ws in self.words]
+        self.sizes = sorted({self.gram(k) for k in range(len(rows))}) or [GRAM]
         grams = defaultdict(list)
         for k, codes in enumerate(self.coded):
-            for at, gram in enumerate(self.grams(codes)):
+            for at, gram in enumerate(self.grams(codes, self.gram(k))):
                 grams[int(gram)].append((k, at))
         self.codes = np.array(sorted(grams), np.int64)
         self.places = [grams[int(c)] for c in self.codes]
         self.seed = [[True] * len(p) for p in self.places]
 
-    def grams(self, codes: np.ndarray) -> np.ndarray:
-        """A number for each run of GRAM words; 0 where one of them is in no item."""
-        if len(codes) < GRAM:
+    def gram(self, k: int) -> int:
+        """Words in an n-gram of item k: GRAM, fewer where so few of those could all be broken."""
+        m = len(self.words[k])
+        return next((n for n in range(GRAM, 1, -1) if m - n + 1 > n * _lost(m)), 1)
+
+    def grams(self, codes: np.ndarray, size: int = GRAM) -> np.ndarray:
+        """A number for each run of ``size`` words; 0 where one of them is in no item."""
+        if len(codes) < size:
             return np.zeros(0, np.int64)
-        out, known = np.zeros(len(codes) - GRAM + 1, np.int64), np.ones(len(codes) - GRAM + 1, bool)
-        for k in range(GRAM):
-            part = codes[k : len(codes) - GRAM + 1 + k]
+        out, known = np.zeros(len(codes) - size + 1, np.int64), np.ones(len(codes) - size + 1, bool)
+        for k in range(size):
+            part = codes[k : len(codes) - size + 1 + k]
             out, known = out * self.base + part, known & (part > 0)
         return np.where(known, out, 0)
 
     def hits(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Places of a text's n-grams that some item has, and their index in ``codes``."""
         get = self.number.get
-        grams = self.grams(np.fromiter((get(w, 0) for w in words), np.int64, len(words)))
-        at = np.flatnonzero(grams)
-        if not len(at) or not len(self.codes):
-            return at[:0], at[:0]
-        where = np.searchsorted(self.codes, grams[at])
-        found = (where < len(self.codes)) & (self.codes[np.minimum(where, len(self.codes) - 1)] == grams[at])
-        return at[found], where[found]
+        coded = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
+        places, found = [], []
+        for size in self.sizes:
+            grams = self.grams(coded, size)
+            at = np.flatnonzero(grams)
+            if len(at) and len(self.codes):
+                where = np.searchsorted(self.codes, grams[at])
+                own = (where < len(self.codes)) & (self.codes[np.minimum(where, len(self.codes) - 1)] == grams[at])
+                places.append(at[own])
+                found.append(where[own])
+        nothing = [np.zeros(0, np.int64)]
+        return np.concatenate(places or nothing), np.concatenate(found or nothing)
 
     def choose_seeds(self, frequency: dict[int, int]) -> None:
-        """Keep as seeds, of each item, the n-grams up to its median document frequency."""
+        """Keep as seeds, of each item, its rarest n-grams by document frequency: one more than edits can break, and those as rare."""
         counts = [frequency.get(int(c), 0) for c in self.codes]
         of_item = defaultdict(list)
         for code, places in enumerate(self.places):
             for k, _ in places:
                 of_item[k].append(counts[code])
-        limit = {k: float(np.median(v)) for k, v in of_item.items()}
+        limit = {k: sorted(v)[min(self.gram(k) * _lost(len(self.words[k])), len(v) - 1)] for k, v in of_item.items()}
         self.seed = [[counts[code] <= limit[k] for k, _ in places] for code, places in enumerate(self.places)]
 
     def matches(self, words: list[str]) -> list[tuple[float, int, int, int, int]]:
@@ -123,32 +141,43 @@ class Items:
         return (len(self.words[k]) - rows.bit_count()) / len(self.words[k])
 
     def align(self, k: int, text: list[str]) -> tuple[float, int, int, int]:
-        """(coverage, score, first, end) of the best local alignment of item k with these words."""
-        item = self.words[k]
-        n = len(text)
-        place = np.arange(1, n + 1)
+        """(coverage, score, first, end) of the best local alignment of item k with these words.
+
+        Of equal scores the one with more equal words, then the later start.
+        The three are one number per cell, so two rows of the table are
+        enough: memory grows with the words of the item, not their square.
+        """
+        item, n = self.words[k], len(text)
+        wide = 2 * (n + 2 * len(item)) >= 1 << 20 or n >= 1 << 21
+        kind, low, one = (object, 64, 1) if wide else (np.int64, 21, np.int64(1))
+        score, equal = one << 2 * low, one << low
+        place = np.arange(1, n + 1).astype(kind)
         codes = np.fromiter((self.number.get(w, 0) for w in text), np.int64, n)
         begins = np.fromiter((self.beginning.get(w[:4], 0) if len(w) >= 4 else 0 for w in text), np.int64, n)
-        table = np.zeros((len(item) + 1, n + 1), np.int32)
-        rows = {}
-        for i, word in enumerate(item):
-            if word not in rows:
+        fresh = np.arange(n + 1).astype(kind)  # nothing aligned: no score, and a start here
+        slope = GAP * score * place
+        above, best, end = fresh, fresh[0], 0
+        steps: dict[str, np.ndarray] = {}
+        for word in item:
+            if word not in steps:
+                if len(steps) > 64:  # a bounded number of rows
+                    steps.clear()
                 begin = self.beginning.get(word[:4], 0) if len(word) >= 4 else -1
-                rows[word] = np.where(codes == self.number[word], EQUAL, np.where(begins == begin, ALIKE, UNEQUAL)).astype(np.int32)
-            above = np.maximum(np.maximum(table[i, :-1] + rows[word], table[i, 1:] - GAP), 0)
-            table[i + 1, 1:] = np.maximum.accumulate(above + GAP * place) - GAP * place
-        i, j = np.unravel_index(int(table.argmax()), table.shape)
-        score, end, equal = int(table[i, j]), int(j), 0
-        while table[i, j] > 0:
-            step = rows[item[i - 1]][j - 1]
-            if table[i, j] == table[i - 1, j - 1] + step:
-                equal += step == EQUAL
-                i, j = i - 1, j - 1
-            elif table[i, j] == table[i - 1, j] - GAP:
-                i -= 1
-            else:
-                j -= 1
-        return equal / len(item), score, int(j), end
+                steps[word] = np.where(codes == self.number[word], EQUAL * score + equal, np.where(begins == begin, ALIKE * score, UNEQUAL * score)).astype(kind)
+            row = fresh.copy()
+            row[1:] = np.maximum(np.maximum(above[:-1] + steps[word], above[1:] - GAP * score), fresh[1:])
+            row[1:] = np.maximum.accumulate(row[1:] + slope) - slope
+            at = int(row.argmax())
+            if row[at] > best and row[at] >= score:
+                best, end = row[at], at
+            above = row
+        best = int(best)
+        return (best >> low) % (1 << low) / len(item), best >> 2 * low, best % (1 << low), end
+
+
+def _lost(m: int) -> int:
+    """How many of m words an alignment may leave out and still have the coverage."""
+    return int((1 - COVERAGE) * m + 1e-9)
 
 
 def _merged(windows: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -169,19 +198,20 @@ def _cut(windows: list[tuple[int, int]], m: int) -> list[tuple[int, int]]:
     longest = m + m * EQUAL // GAP
     out = []
     for start, end in windows:
-        while end - start > 8 * longest:
-            out.append((start, start + 8 * longest))
-            start += 7 * longest
+        while end - start > 4 * longest:
+            out.append((start, start + 4 * longest))
+            start += 3 * longest
         out.append((start, end))
     return out
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str):
     rows = benchmark.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("item"), F.col(text_col).alias("text"))
-    blocks = max(1, -(-rows.count() // BLOCK_ITEMS))
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    blocks = max(1, -(-size["n"] // BLOCK_ITEMS), -(-size["bytes"] // BLOCK_BYTES))
     for b in range(blocks):
         own = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
-        yield Items([(r.item, r.text) for r in own.orderBy("item", "text").collect() if r.item is not None and len(words_of(r.text)) >= MIN_WORDS])
+        yield Items([(r.item, r.text) for r in own.where("item IS NOT NULL").orderBy("item", "text").collect() if len(words_of(r.text)) >= MIN_WORDS])
 
 
 def _frequencies(texts: DataFrame, items: Items) -> dict[int, int]:

@@ -142,3 +142,69 @@ def test_left_out_places_change_no_result():
             every = items.matches(text)
         best = lambda found: max(((f[0], f[2], -f[1]) for f in found), default=None)
         assert best(got) == best(every) and {f[1] for f in got if f[0] >= dc.COVERAGE} == {f[1] for f in every if f[0] >= dc.COVERAGE}
+
+
+def lossy(rng, words, kind, share):
+    """A copy in which that share of the words is replaced, left out, or has a word put in before it."""
+    at = set(rng.sample(range(len(words)), int(share * len(words) + 1e-9)))
+    new = lambda: "q" + rng.choice(WORDS)
+    return [x for k, w in enumerate(words) for x in ([w] if k not in at else [new()] if kind == "replaced" else [] if kind == "left out" else [new(), w])]
+
+
+@pytest.mark.parametrize("kind", ["replaced", "left out", "put in"])
+def test_recall_of_edited_copies_in_texts_of_any_length(kind):
+    """Against full alignment, with the seeds that the frequencies of a corpus leave."""
+    rng = random.Random(13)
+    bench = [(k, " ".join(passage(rng, rng.choice([5, 6, 7, 10, 15, 25, 60])))) for k in range(70)]
+    items = dc.Items(bench)
+    frequency = {}
+    for _ in range(60):  # other documents hold parts of the items
+        for c in set(items.hits([w for _ in range(3) for w in (lambda x, s: x[s : s + 8])(items.words[rng.randrange(70)], rng.randrange(10))])[1].tolist()):
+            frequency[int(items.codes[c])] = frequency.get(int(items.codes[c]), 0) + 1
+    items.choose_seeds(frequency)
+    assert not all(all(s) for s in items.seed)
+    wanted = reached = 0
+    for turn in range(350):
+        k = turn % 70
+        copy = lossy(rng, items.words[k], kind, rng.uniform(0.1, 0.2) if kind != "put in" else rng.uniform(0.1, 0.3))
+        around = rng.choice([0, 30, 2000])
+        text = passage(rng, around) + copy + passage(rng, around)
+        if items.align(k, copy)[0] >= dc.COVERAGE:
+            wanted += 1
+            reached += any(f[1] == k and f[0] >= dc.COVERAGE for f in items.matches(text))
+    assert wanted > 200
+    assert reached == wanted if kind != "put in" else reached >= 0.97 * wanted
+
+
+def test_every_way_to_lose_words_leaves_a_seed():
+    from itertools import combinations
+
+    for m in range(dc.MIN_WORDS, 16):
+        items = dc.Items([(1, " ".join(f"w{k}" for k in range(m)))])
+        items.choose_seeds({int(c): n % 3 for n, c in enumerate(items.codes)})
+        size, lost = items.gram(0), dc._lost(m)
+        seeds = [at for places, keep in zip(items.places, items.seed) for (_, at), s in zip(places, keep) if s]
+        for gone in combinations(range(m), lost):
+            assert any(not set(range(at, at + size)) & set(gone) for at in seeds)
+
+
+def test_long_items_take_memory_in_proportion():
+    import tracemalloc
+
+    rng = random.Random(14)
+    item = passage(rng, 6000)
+    text = passage(rng, 3000) + edited(rng, item, 0.1) + passage(rng, 3000)
+    items = dc.Items([(1, " ".join(item))])
+    tracemalloc.start()
+    coverage = items.align(0, text)[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert coverage > 0.85 and peak < 40e6
+
+
+def test_blocks_are_bounded_by_bytes(spark, monkeypatch):
+    rng = random.Random(15)
+    monkeypatch.setattr(dc, "BLOCK_BYTES", 2000)
+    bench = spark.createDataFrame([(k, " ".join(passage(rng, 30))) for k in range(40)], "item_id long, text string")
+    blocks = list(dc._blocks(bench, "item_id", "text"))
+    assert len(blocks) > 2 and sorted(i for b in blocks for i in b.ids) == list(range(40))

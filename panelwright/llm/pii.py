@@ -3,8 +3,9 @@
 High-recall generators propose overlapping candidate spans (obfuscated mail
 addresses, national phone numbers, IPv6, unspaced and short card numbers,
 social-security-like numbers, credentials). Each candidate becomes a vector
-of format and context features; boosted trees score it; a threshold per kind,
-set on calibrated probabilities of a held-back fold, selects what to redact;
+of format and context features; boosted trees score it; a threshold per kind
+selects what to redact: trees grow on three folds, are calibrated on a fourth,
+and thresholds are set on the calibrated probabilities of the fifth;
 overlaps go to the likeliest. The four base kinds, fixed by their patterns,
 always stay and win every overlap.
 
@@ -18,6 +19,7 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from functools import lru_cache
 
@@ -83,10 +85,12 @@ _TOKEN = re.compile(r"[A-Za-z0-9_+/=-]{12,}")
 def candidates(text: str) -> list[tuple[str, int, int]]:
     out = []
     if _OBFUSCATED_HINT.search(text):
+        last = 0  # no look-back reads what a match before it has read
         for m in _OBFUSCATED.finditer(text):
             start = m.start()
-            while start > 0 and m.start() - start < 64 and text[start - 1] in _LOCAL:
+            while start > last and text[start - 1] in _LOCAL:
                 start -= 1
+            last = m.end()
             if start < m.start():
                 out.append(("email", start, m.end()))
     for m in _NUMBER.finditer(text):
@@ -115,7 +119,7 @@ _CONTEXT = (
 
 
 def features(text: str, kind: str, start: int, end: int) -> list[float]:
-    span, left = text[start : min(end, start + 200)], text[max(0, start - 24) : start]
+    span, left = text[start:end], text[max(0, start - 24) : start]
     digits = _digits(span)
     groups = [len(g) for g in re.findall("[0-9]+", span)]
     letters = sum(c.isalpha() for c in span)
@@ -171,6 +175,24 @@ def training_set(size: int = TRAIN_SIZE, seed: int = SEED) -> list[tuple[str, li
     return out
 
 
+class Spans:
+    """Intervals of a text, kept apart and in order, so that one search tells whether another touches them."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def touches(self, start: int, end: int) -> bool:
+        at = bisect_right(self.ends, start)
+        return at < len(self.starts) and self.starts[at] < end
+
+    def add(self, start: int, end: int) -> None:
+        low, high = bisect_right(self.ends, start), bisect_left(self.starts, end)
+        if low < high:
+            start, end = min(start, self.starts[low]), max(end, self.ends[high - 1])
+        self.starts[low:high], self.ends[low:high] = [start], [end]
+
+
 class Model:
     def __init__(self, trees: BoostedTrees, thresholds: dict[str, float]):
         self.trees, self.thresholds = trees, thresholds
@@ -179,17 +201,21 @@ class Model:
         """Per text the selected spans that touch no base span and not each other."""
         rows, found = [], []
         for k, text in enumerate(texts):
-            taken = base[k]
+            taken = Spans()
+            for _, start, end in base[k]:
+                taken.add(start, end)
             for c in candidates(text):
-                if not any(s < c[2] and c[1] < e for _, s, e in taken):
+                if not taken.touches(c[1], c[2]):
                     rows.append((k, c))
                     found.append(features(text, *c))
         out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
         if rows:
+            chosen = [Spans() for _ in texts]
             p = self.trees.probability(np.array(found))
             for at in np.lexsort((np.arange(len(p)), -p)):
                 k, (kind, start, end) = rows[at]
-                if p[at] >= self.thresholds[kind] and not any(s < end and start < e for _, s, e in out[k]):
+                if p[at] >= self.thresholds[kind] and not chosen[k].touches(start, end):
+                    chosen[k].add(start, end)
                     out[k].append((kind, start, end))
         return out
 

@@ -72,3 +72,30 @@ def test_whole_table(spark):
         base = ",".join(f"{k}:{s}:{e}" for k, s, e in brute(row.text or ""))
         assert mine.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
         assert set(base.split(",")) - {""} <= set(mine.spans.split(","))
+
+
+def test_a_long_local_part_is_read_back_to_its_beginning():
+    text = "write to " + "q" * 90 + " at example dot org or " + "w" * 300 + "[at]b.example.com now"
+    spans = [c for c in pii.candidates(text) if c[0] == "email"]
+    assert [text[s:e] for _, s, e in spans] == ["q" * 90 + " at example dot org", "w" * 300 + "[at]b.example.com"]
+    _, s, e = spans[0]
+    assert pii.features(text, "email", s, e)[len(pii.KINDS)] == 80 and pii.features("a1" * 4000, "secret", 0, 8000)[len(pii.KINDS) + 1] == 4000
+
+
+def test_spans_tell_what_touches():
+    rng = random.Random(8)
+    for _ in range(300):
+        spans, marked = pii.Spans(), set()
+        for _ in range(rng.randrange(12)):
+            start = rng.randrange(60)
+            end = start + rng.randrange(1, 9)
+            assert spans.touches(start, end) == bool(marked & set(range(start, end)))
+            spans.add(start, end)
+            marked |= set(range(start, end))
+
+
+def test_many_candidates_take_about_linear_time():
+    text = "call 212-555-0188 or 10.0.0.1, " * 20_000
+    base = pii.base_spans(text)
+    found = pii.trained().added([text], [base])[0]
+    assert len(base) == 20_000 and len(found) >= 19_000

@@ -30,8 +30,8 @@ All of this is a distribution over word sequences (stretches count as equal by
 a 64-bit hash); divided by the text's bytes its negative log2 is the bits per
 byte.
 
-The add-0.1 unigram base needs exact counts of all words. The TOP most
-frequent travel with the tasks (a fixed bound); the rest of a document's words
+The add-0.1 unigram base needs exact counts of all words. The most frequent,
+at most TOP, travel with the tasks (a fixed bound); the rest of a document's words
 are looked up by a join with the whole count table.
 """
 
@@ -147,6 +147,22 @@ def _tables(words: DataFrame, code: Code) -> tuple[list[np.ndarray], list[np.nda
     return full, less
 
 
+def _frequent(words: DataFrame) -> tuple[list[bytes], np.ndarray]:
+    """The most frequent words, at most TOP, and their counts: those above a limit that a histogram of the counts gives, so none are sorted."""
+    step = F.floor(64 * F.log2("c"))
+    found = sorted(((r["step"], r["n"]) for r in words.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)  # 64 rows for each doubling
+    limit, held = float("inf"), 0
+    for at, n in found:
+        held += n
+        if held > TOP:
+            break
+        limit = at
+    top = words.where(step >= F.lit(limit)).toArrow()
+    names, counts = top.column("word").cast(pa.binary()).to_pylist(), top.column("c").to_numpy().astype(float)
+    order = sorted(range(len(names)), key=lambda k: (-counts[k], names[k]))
+    return [names[k] for k in order], counts[order]
+
+
 def _facts(mixer: Mixer, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Per word log10 of its static probability and of that of its first two bytes, and a number for these two bytes."""
     whole, start = mixer.log10(words) if words else (np.zeros(0), np.zeros(0))
@@ -172,8 +188,7 @@ def fit(texts: DataFrame) -> tuple[Model, DataFrame]:
     words = written(word_counts(texts), "words")
     whole = words.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = whole["n"] or 0, whole["v"]
-    top = words.orderBy(F.desc("c"), "word").limit(TOP).toArrow()
-    names, counts = top.column("word").cast(pa.binary()).to_pylist(), np.array(top.column("c").to_pylist(), float)
+    names, counts = _frequent(words)
     code = Code.of_words(names, counts)
     dealt = written(words.repartition(max(1, -(-v // WORDS_PER_TASK))), "dealt")
     full, less = _tables(dealt, code)

@@ -117,11 +117,11 @@ def _fitted(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_gra
 
 
 def fit(docs: DataFrame, graded: DataFrame, n_grades: int = 3, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade") -> Model:
-    """Fit on rows of ``graded`` (id, grade) that have a document; null ids and grades are not used.
+    """Fit on rows of ``graded`` (id, grade) that have a document; null ids and grades are not used; of several texts under one id the least counts.
 
     Without any such row all weights are 0 and the thresholds even.
     """
-    chosen = graded.where(F.col(id_col).isNotNull() & F.col(grade_col).between(0, n_grades - 1)).select(F.col(id_col).alias("id_"), F.col(grade_col).cast("int").alias("grade_")).orderBy(F.xxhash64("id_"), "id_", "grade_").limit(FIT_ROWS)
+    chosen = graded.where(F.col(id_col).isNotNull() & F.col(grade_col).between(0, n_grades - 1)).select(F.col(id_col).alias("id_"), F.col(grade_col).cast("int").alias("grade_")).distinct().orderBy(F.xxhash64("id_"), "id_", "grade_").limit(FIT_ROWS)
 
     def hashed(batches):
         hasher = Hasher()
@@ -129,7 +129,8 @@ def fit(docs: DataFrame, graded: DataFrame, n_grades: int = 3, id_col: str = "do
             made = [hasher.slots(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tolist() for s, _ in made], pa.list_(pa.int32())), pa.array([v.tolist() for _, v in made], pa.list_(pa.float32()))], ["grade_", "s", "v"])
 
-    sample = docs.select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_")).join(F.broadcast(chosen), "id_").select("grade_", "text_")  # the bound is FIT_ROWS rows of two numbers
+    sample = docs.select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_")).join(F.broadcast(chosen), "id_")  # FIT_ROWS rows of two numbers at most
+    sample = sample.groupBy("id_", "grade_").agg(F.min("text_").alias("text_")).select("grade_", "text_")
     rows = sample.mapInArrow(hashed, "grade_ int, s array<int>, v array<float>").toArrow()
     if not rows.num_rows:
         return Model(np.zeros(1 << BITS, np.float32), np.arange(n_grades - 1, dtype=float))

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import zlib
 
 import numpy as np
 from panelwright.llm import quality, queries
@@ -65,3 +66,26 @@ def test_whole_table(spark):
     labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
     unseen = [r for r in rows if r.held_out and r.doc_id in labels]
     assert len(rows) == 1000 and np.mean([r.predicted == labels[r.doc_id] for r in unseen]) > 0.95
+
+
+def test_query_against_plain_python(spark):
+    """Tails of the whole of op8: folds, grades and features by loops, the link by its formula."""
+    sf = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    labels = spark.read.parquet(f"{sf}/labels.parquet").collect()
+    graded = sorted({(r.doc_id, 0 if r.quality == 0 else 1 if r.toxic == 1 else 2) for r in labels if r.doc_id in docs and r.quality in (0, 1) and r.toxic in (0, 1) and zlib.crc32(str(r.doc_id).encode()) % 3 != 1})
+    hasher = quality.Hasher()
+    model = quality._fitted([hasher.slots(docs[i]) for i, _ in graded], np.array([g for _, g in graded]), 3)
+    got = queries.op8_quality(spark, sf).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        f = sum(v * model.weights[s] for s, v in zip(*quality.Hasher().slots(docs[r.doc_id])))
+        tails = [1 / (1 + np.exp(t - f)) for t in model.thresholds]
+        assert abs(r.score - tails[0]) < 2e-3 and abs(r.top_tail - tails[1]) < 2e-3 and abs(r.expected_grade - sum(tails)) < 4e-3
+
+
+def test_repeated_ids_do_not_widen_the_sample(spark):
+    docs = spark.createDataFrame([(1, f"tree {k % 9}") for k in range(3000)] + [(2, "HOUSE !!")], "doc_id long, text string")
+    graded = spark.createDataFrame([(1, 2)] * 4 + [(2, 0)], "doc_id long, grade int")
+    model, again = quality.fit(docs, graded), quality.fit(docs.where("doc_id = 2 OR text = 'tree 0'").dropDuplicates(), graded.distinct())
+    assert np.allclose(model.weights, again.weights, atol=1e-5) and np.allclose(model.thresholds, again.thresholds, atol=1e-5)

@@ -1,17 +1,21 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A lexical transducer maps tokens to classes (insult, threat, target, negation,
-report, clause end, quote, other); insults and their weights are learned from
-labels as words and word beginnings. It is composed with transducers that
-rewrite what they see to the right of a negation, inside reported speech and
-next to a target. What the composed machine emits is summed clause by clause;
-a logistic layer over the clause sums, fitted on the same labelled rows, turns
-them into a calibrated score.
+A lexicon maps tokens to classes (insult, threat, target, negation, report,
+intent, clause end, quote, other); insults and their weights are learned from
+labels as words and word beginnings, the closed classes are word lists that
+the caller may replace. Five transducers are composed over the classes: insults
+weigh more in a row, threats after a word of intent; a negation turns what
+follows into a negated insult or threat, reported speech into a reported one,
+a target nearby into an aimed one. What the composed machine emits is summed
+clause by clause; a logistic layer over the clause sums, fitted on the same
+labelled rows, turns them into a calibrated score.
 
 Fitting reads at most FIT_ROWS labelled rows, the least by hash of the id: a
-documented bound that does not grow with the input. Near copies in it count
-once (by one min-hash of five-word shingles), else a passage that was copied
-often would pass for an insult.
+documented bound that does not grow with the input. Of several texts under one
+id the least counts. Near copies in it count once (by the least and greatest
+hash of five-word shingles; the least id stays), else a passage that was
+copied often would pass for an insult. A learned pattern must be in a share
+MIN_SHARE of the toxic rows, which bounds how many there can be.
 """
 
 from __future__ import annotations
@@ -19,6 +23,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import reduce
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -27,20 +33,20 @@ from pyspark.sql import functions as F
 
 from .common import kept_where, sliced, written
 
-FIT_ROWS, MAX_PATTERNS, MIN_SUPPORT, MIN_SHARE, MIN_LOG_ODDS = 12_000, 2_000, 6, 0.01, 2.0
+FIT_ROWS, MIN_SUPPORT, MIN_SHARE, MIN_LOG_ODDS = 12_000, 6, 0.01, 2.0
 PREFIXES = (6, 5, 4)
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, END = range(8)
-NEGATED, REPORTED, AIMED = 8, 9, 10  # of insults and threats, made by the transducers
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, INTENT, QUOTE, END = range(9)
+NEGATED, REPORTED, AIMED = 9, 10, 11  # of insults and threats, made by the transducers
 
 # Fixed word lists of the closed classes.
 WORDS = {
     THREAT: "kill hurt destroy murder burn beat shoot stab tuer frapper détruire brûler töten schlagen vernichten verbrennen matar golpear destruir quemar",
     TARGET: "you your yourself u he she him her they them people everyone tu toi vous votre elle ils elles leur du dich dein ihr euch sie er ihn usted ustedes él ella ellos vosotros",
     NEGATION: "not no never nor without isn aren wasn don doesn didn won ne pas jamais sans aucun nicht kein keine nie niemals ohne nunca jamás sin tampoco",
+    INTENT: "will shall gonna going must should vais va allons allez dois werde wird werden muss soll voy vas va vamos debe quiero want",
     REPORT: "said says say told wrote writes quoted quote called claimed reported dit disait écrit appelé sagte sagt schrieb nannte dijo dice escribió llamó",
 }
-CLOSED = {word: kind for kind, words in WORDS.items() for word in words.split()}
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?;\n]|[\"“”«»„]")
 _ENDS, _QUOTES = frozenset(".!?;\n"), frozenset("\"“”«»„")
 
@@ -70,6 +76,23 @@ class Transducer:
         return Transducer(moves, start)
 
 
+def _decaying(kind: int, reach: int, moves: dict[tuple, tuple]) -> Transducer:
+    """After ``kind`` a state counts down from ``reach``, to 0 at a clause end; ``moves`` come first."""
+    own = {(s, kind): (reach, kind, 0.0) for s in range(reach + 1)}
+    own |= {(s, k): (0 if k == END else s - 1, k, 0.0) for s in range(1, reach + 1) for k in range(AIMED + 1) if k != kind}
+    return Transducer(own | moves)
+
+
+def _insult(reach: int = 3) -> Transducer:
+    """An insult up to ``reach`` tokens after another one weighs more."""
+    return _decaying(INSULT, reach, {(s, INSULT): (reach, INSULT, 0.25) for s in range(1, reach + 1)})
+
+
+def _threat(reach: int = 4) -> Transducer:
+    """A threat up to ``reach`` tokens after a word of intent weighs more."""
+    return _decaying(INTENT, reach, {(s, THREAT): (s - 1, THREAT, 0.5) for s in range(1, reach + 1)})
+
+
 def _negation(reach: int = 3) -> Transducer:
     """An insult or threat up to ``reach`` tokens after a negation is a negated one."""
     moves = {(s, NEGATION): (reach, NEGATION, 0.0) for s in range(reach + 1)} | {(s, END): (0, END, 0.0) for s in range(1, reach + 1)}
@@ -93,7 +116,8 @@ def _target(reach: int = 4) -> Transducer:
     return Transducer(moves)
 
 
-GRAMMAR = _negation().then(_reported(), range(AIMED + 1)).then(_target(), range(AIMED + 1))
+PARTS = (_insult(), _threat(), _negation(), _reported(), _target())
+GRAMMAR = reduce(lambda a, b: a.then(b, range(AIMED + 1)), PARTS)
 COUNTED = (INSULT, THREAT, NEGATED, REPORTED, AIMED)
 FEATURES = len(COUNTED) + 4
 
@@ -101,8 +125,9 @@ FEATURES = len(COUNTED) + 4
 class Lexicon:
     """Word -> (class, weight); learned patterns are whole words or ``beginning*``."""
 
-    def __init__(self, patterns: dict[str, float]):
+    def __init__(self, patterns: dict[str, float], words: dict[int, str] = WORDS):
         self.patterns, self.known = patterns, {}
+        self.closed = {word: kind for kind, own in words.items() for word in own.split()}
 
     def look_up(self, word: str) -> tuple[int, float] | None:
         if word in _ENDS:
@@ -111,8 +136,8 @@ class Lexicon:
             return QUOTE, 0.0
         weights = [self.patterns[p] for p in (word, *(word[:n] + "*" for n in PREFIXES if len(word) >= n)) if p in self.patterns]
         if weights:
-            return (THREAT if CLOSED.get(word) == THREAT else INSULT), max(weights)
-        return (CLOSED[word], 1.0 if CLOSED[word] == THREAT else 0.0) if word in CLOSED else None
+            return (THREAT if self.closed.get(word) == THREAT else INSULT), max(weights)
+        return (self.closed[word], 1.0 if self.closed[word] == THREAT else 0.0) if word in self.closed else None
 
     def features(self, text: str) -> list[float]:
         """Sums over the clauses that hold an insult or threat; all zero where there is none."""
@@ -147,20 +172,19 @@ def patterns_of(text: str) -> set[str]:
     return words | {w[:n] + "*" for w in words for n in PREFIXES if len(w) >= n}
 
 
-def min_hash(text: str) -> int:
+def near_hash(text: str) -> int:
+    """The least and the greatest hash of the five-word shingles, as one number."""
     words = text.lower().split()
-    return min((hash_of(" ".join(words[i : i + 5])) for i in range(max(1, len(words) - 4))), default=0)
-
-
-def hash_of(text: str) -> int:
-    from zlib import crc32
-
-    return crc32(text.encode("utf-8", "replace"))
+    hashes = [crc32(" ".join(words[i : i + 5]).encode("utf-8", "replace")) for i in range(max(1, len(words) - 4))]
+    return min(hashes) << 31 ^ max(hashes)
 
 
 class Model:
-    def __init__(self, patterns: dict[str, float], weights: np.ndarray, mean: np.ndarray, scale: np.ndarray):
-        self.patterns, self.weights, self.mean, self.scale = patterns, weights, mean, scale
+    def __init__(self, patterns: dict[str, float], weights: np.ndarray, mean: np.ndarray, scale: np.ndarray, words: dict[int, str] = WORDS):
+        self.patterns, self.weights, self.mean, self.scale, self.words = patterns, weights, mean, scale, words
+
+    def lexicon(self) -> Lexicon:
+        return Lexicon(self.patterns, self.words)
 
     def scores(self, lexicon: Lexicon, texts: list[str]) -> np.ndarray:
         x = np.array([lexicon.features(t) for t in texts]).reshape(-1, FEATURES)
@@ -179,16 +203,21 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0) -> tuple[np.ndarray
     return w, mean, scale
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Learn the lexicon and the score from labelled rows; labels outside 0 and 1 and null ids are not used."""
-    chosen = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id_"), F.col(label_col).cast("int").alias("label_")).orderBy(F.xxhash64("id_"), "id_", "label_").limit(FIT_ROWS)
-    sample = written(docs.select(F.col(id_col).alias("id_"), F.coalesce(F.col(text_col), F.lit("")).alias("text_")).join(F.broadcast(chosen), "id_"), "toxicity")  # at most FIT_ROWS rows of two numbers
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", words: dict[int, str] = WORDS) -> Model:
+    """Learn the lexicon and the score from labelled rows; labels outside 0 and 1 and null ids are not used.
+
+    ``words``: the closed classes (THREAT, TARGET, NEGATION, REPORT, INTENT), each as words between blanks.
+    """
+    chosen = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id_"), F.col(label_col).cast("int").alias("label_")).distinct().orderBy(F.xxhash64("id_"), "id_", "label_").limit(FIT_ROWS)
+    told = docs.select(F.col(id_col).alias("id_"), F.coalesce(F.col(text_col), F.lit("")).alias("text_")).join(F.broadcast(chosen), "id_")  # at most FIT_ROWS rows of two numbers
+    sample = written(told.groupBy("id_", "label_").agg(F.min("text_").alias("text_")), "toxicity")
 
     def hashed(batches):
         for batch in sliced(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([min_hash(t) for t in batch.column(1).to_pylist()], pa.int64()), batch.column(2), batch.column(1)], ["near", "label_", "text_"])
+            yield pa.RecordBatch.from_arrays([pa.array([near_hash(t) for t in batch.column(2).to_pylist()], pa.int64()), *batch.columns], ["near", "id_", "label_", "text_"])
 
-    alone = sample.mapInArrow(hashed, "near long, label_ int, text_ string").dropDuplicates(["near", "label_"])
+    id_type = sample.schema["id_"].dataType.simpleString()
+    alone = sample.mapInArrow(hashed, f"near long, id_ {id_type}, label_ int, text_ string").groupBy("near", "label_").agg(F.min(F.struct("id_", "text_"))["text_"].alias("text_"))
 
     def counted(batches):
         for batch in sliced(batches):
@@ -206,20 +235,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     whole = counts.where(F.col("pattern") == "\n").first()
     if whole is None or not 0 < whole["t"] < whole["n"]:
         rate = 0.0 if whole is None else whole["t"] / whole["n"]
-        return Model({}, np.array([math.log((rate + 1e-4) / (1 - rate + 1e-4)), *[0.0] * FEATURES]), np.zeros(FEATURES), np.ones(FEATURES))
+        return Model({}, np.array([math.log((rate + 1e-4) / (1 - rate + 1e-4)), *[0.0] * FEATURES]), np.zeros(FEATURES), np.ones(FEATURES), words)
     toxic, clean = whole["t"], whole["n"] - whole["t"]
     odds = F.log(((F.col("t") + 0.5) / (toxic + 1)) / ((F.col("n") - F.col("t") + 0.5) / (clean + 1)))
-    kept = counts.where((F.col("pattern") != "\n") & (F.col("t") >= max(MIN_SUPPORT, math.ceil(MIN_SHARE * toxic)))).withColumn("w", odds).where(F.col("w") >= MIN_LOG_ODDS).orderBy(F.desc(F.col("w") * F.col("t")), "pattern").limit(MAX_PATTERNS).collect()
+    kept = counts.where((F.col("pattern") != "\n") & (F.col("t") >= max(MIN_SUPPORT, math.ceil(MIN_SHARE * toxic)))).withColumn("w", odds).where(F.col("w") >= MIN_LOG_ODDS).collect()  # no more than an average text has patterns, divided by MIN_SHARE
     patterns = {r["pattern"]: float(r["w"]) for r in kept}
 
     def shown(batches):
-        lexicon = Lexicon(patterns)
+        lexicon = Lexicon(patterns, words)
         for batch in sliced(batches):
             x = [lexicon.features(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], ["label_", "x"])
 
     rows = alone.select("label_", "text_").mapInArrow(shown, "label_ int, x array<double>").collect()  # at most FIT_ROWS short rows
-    return Model(patterns, *_logistic(np.array([r["x"] for r in rows]), np.array([float(r["label_"]) for r in rows])))
+    return Model(patterns, *_logistic(np.array([r["x"] for r in rows]), np.array([float(r["label_"]) for r in rows])), words)
 
 
 def score(docs: DataFrame, model: Model, keys: list[Column], text: Column) -> DataFrame:
@@ -233,7 +262,7 @@ def score(docs: DataFrame, model: Model, keys: list[Column], text: Column) -> Da
     names = rows.columns[:-1]
 
     def scored(batches):
-        lexicon = Lexicon(model.patterns)
+        lexicon = model.lexicon()
         for batch in sliced(batches):
             values = model.scores(lexicon, [t or "" for t in batch.column(len(names)).to_pylist()])
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), pa.array(values, pa.float64())], [*names, "score"])
@@ -245,7 +274,7 @@ def clean(docs: DataFrame, model: Model, text_col: str = "text", limit: float =
     """The documents whose score stays below the limit, with all their columns; null texts count as empty."""
 
     def make():
-        lexicon = Lexicon(model.patterns)
+        lexicon = model.lexicon()
         return lambda texts: (model.scores(lexicon, texts) < limit).tolist()
 
     return kept_where(docs, text_col, make)

@@ -15,7 +15,7 @@ def test_pipeline_against_plain_python(spark):
     docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     labels = spark.read.parquet(f"{SF}/labels.parquet").where(~held_out("doc_id", 3, 1))
     model = toxicity.fit(spark.read.parquet(f"{SF}/documents.parquet"), labels)
-    lexicon = toxicity.Lexicon(model.patterns)
+    lexicon = model.lexicon()
     left = {i: r.text for i, r in docs.items() if model.scores(lexicon, [r.text or ""])[0] < 0.7}
     root = brute({i: plain(t) for i, t in sorted(left.items())})
     left = {i: t for i, t in left.items() if root[i] == i}

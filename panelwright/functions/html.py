@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from html.parser import HTMLParser
-from urllib.parse import urldefrag, urljoin
+from urllib.parse import unquote, urldefrag, urljoin
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,6 +15,14 @@ FRAME = ("header", "footer", "nav", "aside")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 
+def mail_addresses(href: str) -> list[str]:
+    """The addresses of a mailto link, lower-cased; none of any other link."""
+    scheme, _, rest = href.strip().partition(":")
+    if scheme.lower() != "mailto":
+        return []
+    return [a for a in (unquote(part).strip().lower() for part in rest.partition("?")[0].split(",")) if a.count("@") == 1 and "." in a.partition("@")[2]]
+
+
 class _Page(HTMLParser):
     """Text runs with the open tags they stand in, and links with their anchor text."""
 
@@ -23,14 +31,18 @@ class _Page(HTMLParser):
         self.open: list[tuple[str, bool]] = []
         self.runs: list[tuple[str, frozenset[str]]] = []
         self.links: list[list[str]] = []
-        self.base, self.anchor = base, None
+        self.base, self.based, self.anchor = base, False, None
+        self.mails: list[str] = []
 
     def handle_starttag(self, tag, attrs):
         at = dict(attrs)
-        if tag == "base" and at.get("href"):
-            self.base = urljoin(self.base, at["href"])
+        if tag == "base" and at.get("href") and not self.based:  # the first one counts, if it leads to a page
+            self.based = True
+            whole = urljoin(self.base, at["href"].strip())
+            self.base = whole if whole.lower().startswith(("http://", "https://")) else self.base
         if tag == "a" and at.get("href"):
             self.anchor = [at["href"], ""]
+            self.mails += mail_addresses(at["href"])
         if tag not in VOID:
             self.open.append((tag, at.get("role") == "main"))
 
@@ -92,3 +104,20 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.string()), pa.array([[{"url": u, "text": t} for u, t in f[2]] for f in found], link)], ["key", "main_text", "chrome_text", "links"])
 
     return rows.mapInArrow(run, f"key {kind}, main_text string, chrome_text string, links array<struct<url:string,text:string>>")
+
+
+def email_links(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """(key, emails): distinct mailto addresses of each page in order; a null page has none."""
+    rows = pages.select(F.col(key).alias("key"), F.col(html).alias("html"))
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for h in batch.column(1).to_pylist():
+                page = _Page("")
+                page.feed(h or "")
+                page.close()
+                found.append(list(dict.fromkeys(page.mails)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], ["key", "emails"])
+
+    return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, emails array<string>")

@@ -34,12 +34,13 @@ def is_near_empty(text: Column, least: int = NEAR_EMPTY_CHARS) -> Column:
 
 def letter_share(text: Column) -> Column:
     """Letters and marks over characters that are not white space; null where there are none."""
-    letters = F.length(F.regexp_replace(text, r"[^\p{L}\p{M}]", ""))
-    return F.try_divide(letters, F.length(F.regexp_replace(text, SPACE, "")))
+    letters = F.length(F.regexp_replace(text, r"[^\p{L}\p{M}]+", ""))
+    return F.try_divide(letters, F.length(F.regexp_replace(text, f"{SPACE}+", "")))
 
 
 def binary_markers(text: Column) -> Column:
     """Names of the binary markers found, in a fixed order."""
+    # The marker strings, and how far they are looked for.
     head = F.substring(text, 1, HEAD_CHARS)
     objects = F.regexp_count(F.substring(text, 1, 200_000), F.lit(r"\b(?:\d+ \d+ obj|endobj|endstream|stream)\b"))
     image = F.lit(False)
@@ -56,12 +57,14 @@ def binary_markers(text: Column) -> Column:
     )
 
 
-def readability_failure(text: Column) -> Column:
+def readability_failure(text: Column, share: Column | None = None) -> Column:
+    """Why a text can't be read, null where it can or is blank; ``share``: its letter_share, where a caller has it already."""
     markers = binary_markers(text)
+    share = letter_share(text) if share is None else share
     return (
-        F.when(strip(text) == "", None)
+        F.when(~text.rlike(f"[^{SPACE[1:]}"), None)
         .when(F.size(markers) > 0, F.concat(F.lit("binary_marker:"), F.array_join(markers, ",")))
-        .when(letter_share(text) < LETTER_SHARE_CUT, "low_letter_share")
+        .when(share < LETTER_SHARE_CUT, "low_letter_share")
     )
 
 

@@ -7,6 +7,7 @@ count by their value; offsets are those of the text.
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 
 import pyarrow as pa
@@ -29,41 +30,47 @@ _GAP = "[  ]"
 _JOIN = rf"{_GAP}?[-/‐-―]{_GAP}?"
 _GROUP = regex.compile(rf"(?<![0-9])[0-9]{{2,4}}(?![0-9])(?:{_JOIN}[0-9]{{2,4}}(?![0-9]))*")
 _LINK = regex.compile(rf"{_GAP}+(?:to|through|until){_GAP}+", regex.I)
-_FY = regex.compile(rf"(?:\bF\.?Y\.?[  -]?['’]?|\b(?:fiscal|financial){_GAP}+year{_GAP}+)$", regex.I)
-_FISCAL = regex.compile(rf"\bfiscal{_GAP}+$", regex.I)
-_BEFORE = regex.compile(rf"(?:\b(?:{'|'.join(w.replace(' ', f'{_GAP}+') for w in BEFORE)}){_GAP}+|회계연도[  　]*)$", regex.I)
-_THAI = regex.compile(rf"ปีงบประมาณ{_GAP}*(?:พ\.{_GAP}?ศ\.{_GAP}*)?$")
-_AFTER = regex.compile(rf"{_GAP}+(?:fiscal|financial){_GAP}+year(?![A-Za-z])|[  　]?(?:{'|'.join(AFTER)})", regex.I)
+
+
+def _ending(pattern: str, flags: int = 0) -> regex.Pattern:
+    """To be matched at a place: what stands right before it, however long."""
+    return regex.compile(f"(?<={pattern})", flags)
+
+
+_FY = _ending(rf"(?:\bF\.?Y\.?[\x20\xA0-]?['’]?|\b(?:fiscal|financial){_GAP}+year{_GAP}+)", regex.I)
+_FISCAL = _ending(rf"\bfiscal{_GAP}+", regex.I)
+_BEFORE = _ending(rf"(?:\b(?:{'|'.join(w.replace(' ', f'{_GAP}+') for w in BEFORE)}){_GAP}+|회계연도[\x20\xA0\u3000]*)", regex.I)
+_THAI = _ending(rf"ปีงบประมาณ{_GAP}*(?:พ\.{_GAP}?ศ\.{_GAP}*)?")
+_AFTER = regex.compile(rf"{_GAP}+(?:fiscal|financial){_GAP}+year(?![A-Za-z])|[\x20\xA0\u3000]?(?:{'|'.join(AFTER)})", regex.I)
 _BE = rf"(?:พ\.{_GAP}?ศ\.|\bB\.{_GAP}?E\.)"
-_BE_BEFORE, _BE_AFTER = regex.compile(rf"{_BE}{_GAP}?$"), regex.compile(rf"{_GAP}?{_BE}")
-_NUMBERING = regex.compile(rf"(?:\bpp?\.|\bpage|\bID|\bNo\.|#|\bart\.|§){_GAP}*$", regex.I)
-_ERA = regex.compile(r"(令和|平成|民[國国])[  　]?(元|[0-9]{1,3}(?![0-9])|[〇零一二三四五六七八九十百]{1,5})[  　]?年")
-_KANJI = {c: i for i, c in enumerate("〇一二三四五六七八九")} | {"零": 0}
+_BE_BEFORE, _BE_AFTER = _ending(rf"{_BE}{_GAP}?"), regex.compile(rf"{_GAP}?{_BE}")
+# What marks a number as a page, an id, a paragraph.
+_NUMBERING = _ending(rf"(?:\bpp?\.|\bpage|\bID|\bNo\.|#|\bart\.|§){_GAP}*", regex.I)
+_ERA = regex.compile(r"(令和|平成|民[國国])[\x20\xA0\u3000]?(元|[0-9]{1,3}(?![0-9])|[〇零一二三四五六七八九十百]{1,5})[\x20\xA0\u3000]?年")
+_HAN_DIGITS = str.maketrans("〇零一二三四五六七八九", "00123456789")
+_TO_ASCII = {c: str(unicodedata.decimal(chr(c))) for c in range(128, sys.maxunicode + 1) if chr(c).isdecimal()}
 
 
 def plain_digits(text: str) -> str:
     """Every decimal digit of any script as its ASCII digit, place by place."""
-    return text if text.isascii() else "".join(str(unicodedata.decimal(c)) if c.isdecimal() else c for c in text)
+    return text.translate(_TO_ASCII)
 
 
 def two_digit_year(yy: int, reference_year: int) -> int:
-    return (1900 if yy >= reference_year % 100 + PIVOT else 2000) + yy
+    """The year of the 2000s, or a century before where that is PIVOT or more years ahead in its century."""
+    return 2000 + yy - 100 * (yy - reference_year % 100 >= PIVOT)
 
 
-def _kanji(number: str) -> int:
+def han_number(number: str) -> int:
+    """元 is 1; otherwise digits place by place, or hundreds and tens with their signs (a sign alone is one of them)."""
     if number == "元":
         return 1
-    if number.isdigit() and number.isascii():
-        return int(number)
-    if not set(number) & {"十", "百"}:
-        return int("".join(str(_KANJI[c]) for c in number))
-    total = unit = 0
-    for c in number:
-        if c in "十百":
-            total, unit = total + max(unit, 1) * (10 if c == "十" else 100), 0
-        else:
-            unit = _KANJI[c]
-    return total + unit
+    rest, total = number.translate(_HAN_DIGITS), 0
+    for sign, weight in (("百", 100), ("十", 10)):
+        head, found, tail = rest.partition(sign)
+        if found:
+            total, rest = total + weight * int(head or 1), tail
+    return total + int(rest or 0)
 
 
 def mine_years(text: str, reference_year: int) -> list[tuple[int, int, int, str]]:
@@ -77,51 +84,48 @@ def mine_years(text: str, reference_year: int) -> list[tuple[int, int, int, str]
     def whole(digits):
         return int(digits) if len(digits) == 4 else two_digit_year(int(digits), reference_year)
 
-    def buddhist_end(digits, first):
-        if len(digits) == 4:
-            return int(digits)
-        year = first // 100 * 100 + int(digits)
-        return year + 100 if year < first else year
+    def later(digits, first):
+        """The end of a range: whole, or the first year from ``first`` on with these two digits."""
+        return int(digits) if len(digits) == 4 else first + (int(digits) - first) % 100
 
     for m in _ERA.finditer(norm):
         base = {"令": REIWA, "平": HEISEI, "民": MINGUO}[m[1][0]]
-        lifted(base + _kanji(m[2]), *m.span(), "roc" if base == MINGUO else "era_jp")
+        lifted(base + han_number(m[2]), *m.span(), "roc" if base == MINGUO else "era_jp")
 
     groups = list(_GROUP.finditer(norm))
     for g, m in enumerate(groups):
         parts = [(p[0], m.start() + p.start(), m.start() + p.end()) for p in regex.finditer("[0-9]+", m[0])]
         sizes = [len(d) for d, _, _ in parts]
-        left, right = norm[max(0, m.start() - 48) : m.start()], norm[m.end() : m.end() + 24]
         for digits, start, end in parts:
             if len(digits) == 4:
                 lifted(int(digits), start, end, "literal", LITERAL_WINDOW)
-        fy = bool(_FY.search(left)) or (sizes[0] == 4 and bool(_FISCAL.search(left)))
-        thai = bool(_THAI.search(left))
-        before = fy or thai or bool(_BEFORE.search(left))
+        fy = bool(_FY.match(norm, m.start())) or (sizes[0] == 4 and bool(_FISCAL.match(norm, m.start())))
+        thai = bool(_THAI.match(norm, m.start()))
+        before = fy or thai or bool(_BEFORE.match(norm, m.start()))
         spans = []
         if before and 3 not in sizes and (sizes[0] == 4 or fy):
             if len(parts) <= 2:
                 spans = [parts]
             elif len(parts) == 4 and sizes[0] == sizes[2] == 4:  # FY 2014/15-2019/20
                 spans = [parts[:2], parts[2:]]
-        elif len(parts) <= 2 and sizes[0] == 4 and 3 not in sizes and _AFTER.match(right):
+        elif len(parts) <= 2 and sizes[0] == 4 and 3 not in sizes and _AFTER.match(norm, m.end()):
             spans = [parts]
         for span in spans:
             first = whole(span[0][0])
             era = BUDDHIST if thai and first >= BUDDHIST_FROM else 0
-            years = [first, *(buddhist_end(d, first) if era else whole(d) for d, _, _ in span[1:])]
+            years = [first, *(later(d, first) if era else whole(d) for d, _, _ in span[1:])]
             for year, form in zip(years, ("fiscal_one",) if len(years) == 1 else ("fiscal_lower", "fiscal_upper")):
                 lifted(year - era, span[0][1], span[-1][2], form)
-        buddhist = bool(_BE_BEFORE.search(left) or _BE_AFTER.match(right)) and not thai
+        buddhist = bool(_BE_BEFORE.match(norm, m.start()) or _BE_AFTER.match(norm, m.end())) and not thai
         if buddhist and len(parts) <= 2 and sizes[0] == 4 and 3 not in sizes:
             first = int(parts[0][0])
-            for year in (first, *(buddhist_end(d, first) for d, _, _ in parts[1:])):
+            for year in (first, *(later(d, first) for d, _, _ in parts[1:])):
                 lifted(year - BUDDHIST, *m.span(), "buddhist_era")
         if spans or buddhist:
             continue
         years = [int(d) for d, _, _ in parts]
         forward = set(sizes) == {4} and all(a < b for a, b in zip(years, years[1:]))
-        window = LITERAL_WINDOW if _NUMBERING.search(left) else LABEL_WINDOW
+        window = LITERAL_WINDOW if _NUMBERING.match(norm, m.start()) else LABEL_WINDOW
         if len(parts) > 1 and forward:
             for (_, start, _), (_, _, end), low, high in zip(parts, parts[1:], years, years[1:]):
                 lifted(low, start, end, "range_lower", window)

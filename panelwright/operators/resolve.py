@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut
+
 CONFIDENCE = ("low", "medium", "high")
 
 
@@ -69,16 +71,25 @@ def not_overlapping(a: DataFrame, b: DataFrame, group: str, width: int) -> DataF
 
 def host_owner(urls: DataFrame, hosts: DataFrame) -> DataFrame:
     """(id, owner): 'own', 'other' or 'unknown' by whether the URL's host is this or another institution's; urls(id, institution, host), hosts(institution, host)."""
-    owners = hosts.groupBy("host").agg(F.collect_set("institution").alias("owners"))
-    met = urls.join(owners, "host", "left")
-    return met.select("id", F.when(F.col("owners").isNull(), "unknown").when(F.array_contains("owners", F.col("institution")), "own").otherwise("other").alias("owner"))
-
-
-def parent_chain(edges: DataFrame, nodes: DataFrame, levels: int = 8) -> DataFrame:
-    """(node, ancestor, depth): the closure of child-parent edges over the nodes, depth 0 included, at most ``levels`` deep."""
-    out = nodes.select(F.col("node"), F.col("node").alias("ancestor"), F.lit(0).alias("depth"))
-    step, up = out, edges.select(F.col("child").alias("ancestor"), F.col("parent"))
-    for depth in range(1, levels + 1):
-        step = step.join(up, "ancestor").select("node", F.col("parent").alias("ancestor"), F.lit(depth).alias("depth"))
-        out = out.union(step)
-    return out
+    pairs = hosts.select("institution", "host").distinct().withColumn("own", F.lit(True))
+    taken = hosts.select("host").distinct().withColumn("taken", F.lit(True))
+    met = urls.join(pairs, ["institution", "host"], "left").join(taken, "host", "left")
+    return met.select("id", F.when(F.col("own"), "own").when(F.col("taken"), "other").otherwise("unknown").alias("owner"))
+
+
+def parent_chain(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, ancestor, depth): the closure of child-parent edges over the nodes, depth 0 included, however deep.
+
+    A walk ends where a node has no parent or comes to a node it has been
+    at; with several ways to an ancestor the shortest counts.
+    """
+    up = edges.select(F.col("child").alias("ancestor"), "parent").where("parent IS NOT NULL").distinct()
+    out = cut(nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth")).distinct())
+    step, depth = out, 0
+    while True:
+        depth += 1
+        fresh = step.join(up, "ancestor").select("node", F.col("parent").alias("ancestor")).distinct().join(out, ["node", "ancestor"], "left_anti")
+        step = cut(fresh.withColumn("depth", F.lit(depth)))
+        if step.isEmpty():
+            return out
+        out = cut(out.union(step)) if depth % 8 == 0 else out.union(step)

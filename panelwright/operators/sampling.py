@@ -54,27 +54,31 @@ def _refuse_short(pool: DataFrame, size: int) -> None:
 
 
 def largest_remainder(weights: DataFrame, total: int, key: str, weight: str) -> DataFrame:
-    """(key, share): total split in proportion to the weights, leftovers to the largest fractions, ties by key."""
+    """(key, share): total split in proportion to the (whole) weights, leftovers to the largest fractions, ties by key."""
     every = Window.partitionBy(F.lit(0))  # as many rows as levels
-    exact = weights.select(key, (F.lit(total) * F.col(weight) / F.sum(weight).over(every)).alias("exact")).withColumn("base", F.floor("exact"))
-    nth = F.row_number().over(every.orderBy(F.desc(F.col("exact") - F.col("base")), key))
+    exact = weights.select(key, (F.lit(total).cast("decimal(19,0)") * F.col(weight).cast("decimal(19,0)")).alias("part"), F.sum(weight).over(every).cast("decimal(19,0)").alias("whole"))
+    exact = exact.select(key, F.expr("CAST(part div whole AS BIGINT)").alias("base"), F.expr("part % whole").alias("left_over"))
+    nth = F.row_number().over(every.orderBy(F.desc("left_over"), key))
     left = F.lit(total) - F.sum("base").over(every)
     return exact.withColumn("nth", nth).withColumn("left", left).select(key, (F.col("base") + F.when(F.col("nth") <= F.col("left"), 1).otherwise(0)).cast("long").alias("share"))
 
 
-def level_targets(available: dict[str, int], size: int, floors: dict[str, int]) -> dict[str, int]:
-    """What each level owes: floors exactly, the rest by largest remainder of what the pool holds."""
-    over = [level for level, floor in floors.items() if floor > available.get(level, 0)]
-    rest = {level: n for level, n in available.items() if level not in floors and n > 0}
-    residual = size - sum(floors.values())
-    if over or residual < 0 or (residual and not rest):
-        raise ShortDraw(f"floors {floors} do not fit {available} for {size}")
-    targets = dict.fromkeys(available, 0) | floors
-    if residual:
-        targets |= _apportion(rest, residual)
-    if any(n > available[level] for level, n in targets.items()):
-        raise ShortDraw(f"{targets} is more than {available} holds")
-    return targets
+def level_targets(levels: DataFrame, size: int) -> DataFrame:
+    """(level, target) of levels (level, available, floor): a level with a floor owes exactly that; the others share the rest of ``size``.
+
+    They share by largest remainder of what they hold, ties by level. Raises
+    ShortDraw where a floor or a share is more than a level holds, or the
+    floors do not leave a rest that fits.
+    """
+    known = levels.select("level", F.coalesce("available", F.lit(0)).alias("available"), "floor")
+    fixed = F.coalesce(F.sum("floor"), F.lit(0))
+    free = F.coalesce(F.sum(F.when(F.col("floor").isNull(), F.col("available"))), F.lit(0))
+    facts = known.agg(fixed.alias("fixed"), free.alias("free"), F.coalesce(F.bool_or(F.col("floor") > F.col("available")), F.lit(False)).alias("over")).first()
+    rest = size - facts["fixed"]
+    if facts["over"] or rest < 0 or rest > facts["free"]:
+        raise ShortDraw(f"floors of {facts['fixed']} and levels of {facts['free']} do not make {size}")
+    shares = largest_remainder(known.where("floor IS NULL AND available > 0"), rest, "level", "available")
+    return known.join(shares, "level", "left").select("level", F.coalesce("floor", "share", F.lit(0)).cast("long").alias("target"))
 
 
 def _apportion(weights: dict[str, int], total: int) -> dict[str, int]:
@@ -98,11 +102,23 @@ def water_fill(headroom: dict[str, int], weights: dict[str, int], target: int) -
     return placed
 
 
-def take_quotas(rows: DataFrame, quotas: dict[str, int], stratum: str, key: str, seed: int) -> DataFrame:
-    """The first quota[s] rows of each stratum s in hash order."""
-    table = F.create_map(*[F.lit(x) for pair in quotas.items() for x in pair])
-    nth = F.row_number().over(Window.partitionBy(stratum).orderBy(uniform(seed, key), key))
-    return rows.withColumn("nth_", nth).where(F.col("nth_") <= F.coalesce(table[F.col(stratum)], F.lit(0))).drop("nth_")
+def take_quotas(rows: DataFrame, quotas: DataFrame, stratum: str, key: str, seed: int) -> DataFrame:
+    """The first rows of each stratum in hash order, as many as its quota; quotas: (stratum, target), strata without one give none.
+
+    A stratum may be large, so only rows whose hash is small enough to be
+    drawn (with a wide margin) are ranked; should that ever leave a stratum
+    short, all rows are.
+    """
+    wanted = quotas.select(F.col(quotas.columns[0]).alias(stratum), F.col(quotas.columns[1]).alias("target_"))
+    sizes = rows.groupBy(stratum).agg(F.count(F.lit(1)).alias("n_")).join(wanted, stratum).where("target_ > 0")  # one row per stratum
+    limit = (F.col("target_") + 10 * F.sqrt("target_") + 100) / F.col("n_")
+    met = rows.withColumn("u_", uniform(seed, key)).join(sizes.withColumn("limit_", limit), stratum)
+    near = met.where("u_ < limit_")
+    found = near.groupBy(stratum).agg(F.count(F.lit(1)).alias("near_"))
+    short = sizes.join(found, stratum, "left").where(F.coalesce("near_", F.lit(0)) < F.least("target_", "n_"))
+    pool = near if short.isEmpty() else met
+    nth = F.row_number().over(Window.partitionBy(stratum).orderBy("u_", key))
+    return pool.withColumn("nth_", nth).where("nth_ <= target_").drop("nth_", "u_", "limit_", "n_", "target_")
 
 
 def stratified(rows: DataFrame, size: int, stratum: str, key: str, seed: int) -> DataFrame:

@@ -124,7 +124,8 @@ def _docs(spark, sf):
 
 
 def readability_letter_share(spark, sf):
-    return _docs(spark, sf).select("doc_id", F.round(text.letter_share(F.col("text")), 4).alias("share"), text.readability_failure(F.col("text")).alias("failure"))
+    shared = _docs(spark, sf).select("doc_id", "text", text.letter_share(F.col("text")).alias("exact"))
+    return shared.select("doc_id", F.round("exact", 4).alias("share"), text.readability_failure(F.col("text"), F.col("exact")).alias("failure"))
 
 
 def near_empty(spark, sf):

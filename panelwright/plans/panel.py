@@ -105,7 +105,7 @@ def _spans(spark, sf):
     return rows.where("event_type IN ('view', 'click')"), rows.where("event_type IN ('error', 'purchase')")
 
 
-SPANS = "WITH s AS (SELECT user_id % 20 AS page, event_id AS id, event_id * 7 % 5000 AS start, event_id * 7 % 5000 + CAST(props->>'k' AS INT) % 30 AS stop, event_type FROM events WHERE event_id < 4000), a AS (SELECT * FROM s WHERE event_type IN ('view', 'click')), b AS (SELECT * FROM s WHERE event_type IN ('error', 'purchase') AND start < stop) "
+SPANS = "WITH s AS (SELECT user_id % 20 AS page, event_id AS id, event_id * 7 % 5000 AS start, event_id * 7 % 5000 + CAST(props->>'k' AS INT) % 30 AS stop, event_type FROM events), a AS (SELECT * FROM s WHERE event_type IN ('view', 'click')), b AS (SELECT * FROM s WHERE event_type IN ('error', 'purchase') AND start < stop) "
 
 
 def span_overlap(spark, sf):
@@ -128,7 +128,7 @@ def parent_chain(spark, sf):
     n = table(spark, sf, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("child"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("parent"))
     r = table(spark, sf, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("child"), F.lit("world").alias("parent"))
     edges = n.union(r)
-    return resolve.parent_chain(edges, edges.select(F.col("child").alias("node")), 3)
+    return resolve.parent_chain(edges, edges.select(F.col("child").alias("node")))
 
 
 def clique_groups(spark, sf):
@@ -163,7 +163,7 @@ def uniform_draw(spark, sf):
 
 
 def weighted_draw(spark, sf):
-    pool = table(spark, sf, "customer").where("c_acctbal > 100").select("c_custkey", (F.col("c_acctbal") * 1000).alias("age"))
+    pool = table(spark, sf, "customer").select("c_custkey", (F.col("c_acctbal") * 1000).alias("age"))
     return sampling.draw_weighted(pool, 100, 7, "c_custkey", "age").select("c_custkey", "draw_pos")
 
 
@@ -173,9 +173,9 @@ def stratified_sample(spark, sf):
 
 def quota_draw(spark, sf):
     c = table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
-    have = {r["c_mktsegment"]: r["n"] for r in c.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per level
-    targets = sampling.level_targets(have, 90, {"MACHINERY": 11})
-    return sampling.take_quotas(c, targets, "c_mktsegment", "c_custkey", 5)
+    levels = c.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("available"))
+    floors = levels.select(F.col("c_mktsegment").alias("level"), "available", F.when(F.col("c_mktsegment") == "MACHINERY", 11).alias("floor"))
+    return sampling.take_quotas(c, sampling.level_targets(floors, 90), "c_mktsegment", "c_custkey", 5)
 
 
 UNIFORM = "(CAST('0x' || left(md5('{seed}|' || {key}), 13) AS BIGINT) + 0.5) / 4503599627370496.0"
@@ -334,7 +334,10 @@ ORACLES = {
     "sequence_gaps": "WITH d AS (SELECT DISTINCT l_orderkey AS activity, l_linenumber AS number FROM lineitem WHERE (l_orderkey + l_linenumber) % 9 <> 0), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY activity ORDER BY number) AS INTEGER) AS expected FROM d) SELECT * FROM r WHERE number <> expected",
     "keep_wins_dedup": "WITH c AS (SELECT DISTINCT 'u' || (event_id % 700) AS url FROM events WHERE event_type = 'view'), d AS (SELECT 'u' || (event_id % 700) AS url, max(CAST(event_type = 'click' AS INT)) AS keep, count(*) AS n FROM events WHERE event_type IN ('click', 'error') GROUP BY 1) SELECT coalesce(c.url, d.url) AS url, CASE WHEN c.url IS NULL THEN 'url_mismatch' WHEN keep IS NULL THEN 'missing_decision' WHEN keep = 1 THEN 'kept' ELSE 'dropped' END AS status, coalesce(n, 0) > 1 AS duplicate_url FROM c FULL JOIN d ON c.url = d.url",
     "table_comparison": "WITH a AS (SELECT o_orderkey, o_orderstatus AS v FROM orders WHERE o_orderkey % 5 <> 0), b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'Z' ELSE o_orderstatus END AS v FROM orders WHERE o_orderkey % 7 <> 0) SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, CASE WHEN b.o_orderkey IS NULL THEN 'missing' WHEN a.o_orderkey IS NULL THEN 'extra' ELSE 'differs' END AS status FROM a FULL JOIN b ON a.o_orderkey = b.o_orderkey WHERE a.v IS DISTINCT FROM b.v",
-    "inverse_relations": "WITH p AS (SELECT l_partkey AS x, -1 - l_suppkey AS y, min(l_returnflag) AS f, max(l_returnflag) AS g FROM lineitem GROUP BY 1, 2), r AS (SELECT x AS a, y AS b, CASE f WHEN 'A' THEN 'broader' ELSE 'same' END AS value FROM p UNION ALL SELECT y, x, CASE g WHEN 'R' THEN 'narrower' ELSE 'same' END FROM p) SELECT r.a, r.b, r.value, s.value AS other FROM r JOIN r s ON s.a = r.b AND s.b = r.a WHERE s.value <> CASE r.value WHEN 'broader' THEN 'narrower' WHEN 'narrower' THEN 'broader' ELSE 'same' END",
+    "inverse_relations": """WITH p AS (SELECT l_partkey AS x, -1 - l_suppkey AS y, min(l_returnflag) AS f, max(l_returnflag) AS g FROM lineitem GROUP BY 1, 2),
+      v AS (SELECT x, y, CASE f WHEN 'A' THEN 'broader' ELSE 'same' END AS said, CASE g WHEN 'R' THEN 'narrower' ELSE 'same' END AS back FROM p),
+      d AS (SELECT *, said = 'same' AND back = 'same' OR said = 'broader' AND back = 'narrower' AS agree FROM v)
+      SELECT x AS a, y AS b, said AS value, back AS other FROM d WHERE NOT agree UNION ALL SELECT y, x, back, said FROM d WHERE NOT agree""",
     "conditional_fill": "SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN 'w' || c_custkey WHEN c_custkey % 2 = 0 THEN 'o' || c_custkey END AS website FROM customer",
     "master_overlay": "WITH m AS (SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE 'w' || (c_custkey % 100) END AS website, CASE WHEN c_custkey % 3 <> 0 THEN 'w' || (c_custkey % CASE WHEN c_custkey % 5 = 0 THEN 50 ELSE 100 END) END AS site FROM customer) SELECT CASE WHEN site IS NULL THEN 'no_overlay' WHEN website = '' THEN 'new' WHEN website = site THEN 'same' ELSE 'differs' END AS vs_master, count(*) AS n FROM m GROUP BY 1",
     "latest_pick_per_key": PICKS.format("c DESC, run_date DESC, run_id DESC"),
@@ -343,13 +346,18 @@ ORACLES = {
     "span_anti": SPANS + "SELECT page, id, start, stop AS \"end\" FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE a.page = b.page AND a.start < a.stop AND a.start < b.stop AND b.start < a.stop)",
     "host_ownership": "WITH h AS (SELECT 'h' || (s_suppkey % 37) AS host, list(s_suppkey) AS owners FROM supplier GROUP BY 1) SELECT CASE WHEN owners IS NULL THEN 'unknown' WHEN list_contains(owners, l_suppkey) THEN 'own' ELSE 'other' END AS owner, count(*) AS n FROM lineitem LEFT JOIN h ON host = 'h' || (l_partkey % 45) GROUP BY 1",
     "parent_chain": "WITH n AS (SELECT 'n' || n_nationkey AS node, 'r' || n_regionkey AS up FROM nation), r AS (SELECT 'r' || r_regionkey AS node FROM region) SELECT node, node AS ancestor, 0 AS depth FROM n UNION ALL SELECT node, node, 0 FROM r UNION ALL SELECT node, up, 1 FROM n UNION ALL SELECT node, 'world', 1 FROM r UNION ALL SELECT node, 'world', 2 FROM n",
-    "clique_groups": "SELECT doc_id AS node, CASE WHEN doc_id % 30 <= 2 THEN doc_id - doc_id % 30 ELSE doc_id END AS root FROM documents WHERE doc_id < 300",
+    "clique_groups": "SELECT doc_id AS node, CASE WHEN doc_id % 30 <= 2 THEN doc_id - doc_id % 30 ELSE doc_id END AS root FROM documents",
     "never_inspected_pools": "SELECT c_mktsegment, count(*) FILTER (c_custkey NOT IN (SELECT o_custkey FROM orders)) AS never, count(*) FILTER (c_custkey IN (SELECT o_custkey FROM orders)) AS again FROM customer GROUP BY 1",
     "inspection_snapshot": "WITH o AS (SELECT * FROM orders WHERE o_orderkey % 9 <> 0), r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS nth FROM o) SELECT o_custkey AS uid, strftime(max(o_orderdate), '%Y-%m-%d') AS last_inspected_at, 'run' || any_value(o_orderkey) FILTER (nth = 1) AS last_run_id, count(*) AS n_sweeps FROM r GROUP BY 1",
     "frame_composition": "SELECT 'c_mktsegment' AS dimension, c_mktsegment AS value, count(*) AS n FROM customer GROUP BY 2 UNION ALL SELECT 'c_nationkey', CAST(c_nationkey AS VARCHAR), count(*) FROM customer GROUP BY 2",
     "largest_remainder": "WITH w AS (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1), e AS (SELECT c_nationkey, 317 * n / sum(n) OVER () AS x FROM w), b AS (SELECT *, floor(x) AS f, row_number() OVER (ORDER BY x - floor(x) DESC, c_nationkey) AS nth, 317 - sum(floor(x)) OVER () AS spare FROM e) SELECT c_nationkey, CAST(f + CASE WHEN nth <= spare THEN 1 ELSE 0 END AS BIGINT) AS share FROM b",
     "uniform_draw": f"SELECT c_custkey, CAST(row_number() OVER (ORDER BY u, c_custkey) AS INTEGER) AS draw_pos FROM (SELECT c_custkey, {_CUST_U.format(seed=7)} AS u FROM customer) QUALIFY draw_pos <= 100",
-    "weighted_draw": f"SELECT c_custkey, CAST(row_number() OVER (ORDER BY ln(u) / greatest(w, 3600.0) DESC, c_custkey) AS INTEGER) AS draw_pos FROM (SELECT c_custkey, c_acctbal * 1000 AS w, {_CUST_U.format(seed=7)} AS u FROM customer WHERE c_acctbal > 100) QUALIFY draw_pos <= 100",
+    "quota_draw": f"""WITH n AS (SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1), f AS (SELECT *, 79 * n AS part, sum(n) OVER () AS whole FROM n WHERE c_mktsegment <> 'MACHINERY'),
+      b AS (SELECT *, part // whole AS base, row_number() OVER (ORDER BY part % whole DESC, c_mktsegment) AS nth, 79 - sum(part // whole) OVER () AS spare FROM f),
+      t AS (SELECT c_mktsegment, base + CASE WHEN nth <= spare THEN 1 ELSE 0 END AS target FROM b UNION ALL SELECT 'MACHINERY', 11),
+      r AS (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY {_CUST_U.format(seed=5)}, c_custkey) AS pos FROM customer)
+      SELECT c_custkey, c_mktsegment FROM r JOIN t USING (c_mktsegment) WHERE pos <= target""",
+    "weighted_draw": f"SELECT c_custkey, CAST(row_number() OVER (ORDER BY ln(u) / greatest(w, 3600.0) DESC, c_custkey) AS INTEGER) AS draw_pos FROM (SELECT c_custkey, c_acctbal * 1000 AS w, {_CUST_U.format(seed=7)} AS u FROM customer) QUALIFY draw_pos <= 100",
     "stratified_sample": f"WITH u AS (SELECT c_custkey, c_mktsegment, CAST(row_number() OVER (PARTITION BY c_mktsegment ORDER BY {_CUST_U.format(seed=3)}, c_custkey) AS INTEGER) AS round FROM customer) SELECT * FROM u ORDER BY round, md5('3|' || c_mktsegment) LIMIT 53",
     "combine_priority": ANSWERS + f", p AS (SELECT unit, min_by(entered, list_position({list(ORDER)}, entered)) AS value FROM v WHERE covered GROUP BY 1) " + _PICKED,
     "combine_any_yes": ANSWERS.replace("GROUP BY 1, 2), v AS", "GROUP BY 1, 2 HAVING value NOT IN ('pilot', 'live')), v AS") + ", p AS (SELECT unit, min_by(entered, list_position(['yes', 'no', 'not_documented', 'unknown'], entered)) AS value FROM v WHERE covered GROUP BY 1) " + _PICKED,

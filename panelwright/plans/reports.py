@@ -150,8 +150,7 @@ def cohen_kappa(spark, sf):
 def mcnemar_exact(spark, sf):
     e = _events(spark, sf).groupBy("user_id").agg(F.max((F.col("event_type") == "click").cast("int")).alias("a"), F.max(((F.col("event_type") == "signup") & (F.col("k") < 50)).cast("int")).alias("b"))
     t = e.agg(F.count_if((F.col("a") == 1) & (F.col("b") == 0)).alias("gains"), F.count_if((F.col("a") == 0) & (F.col("b") == 1)).alias("losses"))
-    capped = t.select(F.least("gains", F.lit(30)).cast("int").alias("gains"), F.least("losses", F.lit(30)).cast("int").alias("losses"))
-    return capped.withColumn("p", F.round(stats.mcnemar_exact(F.col("gains"), F.col("losses")), 8))
+    return t.withColumn("p", F.round(stats.mcnemar_exact(F.col("gains"), F.col("losses")), 8))
 
 
 def wilson_interval(spark, sf):
@@ -166,11 +165,9 @@ def threshold_sweep(spark, sf):
 
 
 def spearman_ties(spark, sf):
-    from pyspark.sql import Window
-
     o = table(spark, sf, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("x"), F.max(F.month("o_orderdate")).alias("y"))
-    rank = lambda c: F.rank().over(Window.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(c)) - 1) / 2
-    return o.select(rank("x").alias("rx"), rank("y").alias("ry")).agg(F.round(F.corr("rx", "ry"), 6).alias("rho"))
+    rx, ry = (stats.mean_ranks(o, c).withColumnRenamed("rank", f"r{c}") for c in ("x", "y"))
+    return o.join(rx, "x").join(ry, "y").agg(F.round(F.corr("rx", "ry"), 6).alias("rho"))
 
 
 def pearson(spark, sf):
@@ -242,7 +239,9 @@ ORACLES = {
     "run_completeness": MEM + "SELECT run, 'a' || member AS artifact, count(DISTINCT institution) AS n FROM m WHERE member > 0 GROUP BY 1, 2",
     "table_2x2": ARMS + "SELECT * FROM t",
     "cohen_kappa": ARMS + ", k AS (SELECT (\"both\" + neither) / (\"both\" + only_a + only_b + neither) AS po, ((\"both\" + only_a) * (\"both\" + only_b) + (neither + only_b) * (neither + only_a)) / ((\"both\" + only_a + only_b + neither) * (\"both\" + only_a + only_b + neither)) AS pe FROM t) SELECT round((po - pe) / nullif(1 - pe, 0), 6) AS kappa FROM k",
-    "mcnemar_exact": EV + ", e AS (SELECT user_id, max(CAST(event_type = 'click' AS INT)) AS a, max(CAST(event_type = 'signup' AND k < 50 AS INT)) AS b FROM ev GROUP BY 1), t AS (SELECT CAST(least(count(*) FILTER (a = 1 AND b = 0), 30) AS INTEGER) AS gains, CAST(least(count(*) FILTER (a = 0 AND b = 1), 30) AS INTEGER) AS losses FROM e) SELECT gains, losses, round(least(1.0, 2 * list_sum(list_transform(range(0, least(gains, losses) + 1), lambda i: factorial(gains + losses) / (factorial(CAST(i AS INTEGER)) * factorial(CAST(gains + losses - i AS INTEGER))) / pow(2.0, gains + losses)))), 8) AS p FROM t",
+    "mcnemar_exact": EV + """, e AS (SELECT user_id, max(CAST(event_type = 'click' AS INT)) AS a, max(CAST(event_type = 'signup' AND k < 50 AS INT)) AS b FROM ev GROUP BY 1),
+      t AS (SELECT count(*) FILTER (a = 1 AND b = 0) AS gains, count(*) FILTER (a = 0 AND b = 1) AS losses FROM e)
+      SELECT gains, losses, round(least(1.0, 2 * (SELECT sum(exp(lgamma(gains + losses + 1) - lgamma(i + 1) - lgamma(gains + losses - i + 1) - (gains + losses) * ln(2.0))) FROM range(0, least(gains, losses) + 1) r(i))), 8) AS p FROM t""",
     "wilson_interval": "WITH e AS (SELECT event_type, count(*) FILTER (value >= 10) AS k, count(*) AS n FROM events GROUP BY 1), w AS (SELECT event_type, (k / n + 3.8416 / (2 * n)) / (1 + 3.8416 / n) AS c, 1.96 * sqrt(k / n * (1 - k / n) / n + 3.8416 / (4 * n * n)) / (1 + 3.8416 / n) AS h FROM e) SELECT event_type, round(c - h, 6) AS low, round(c + h, 6) AS high FROM w",
     "threshold_sweep": "SELECT CAST(t AS INTEGER) AS t, count(*) FILTER (n_chars >= t AND quality = 0) AS false_pos, count(*) FILTER (n_chars < t AND quality = 1) AS false_neg FROM documents JOIN labels USING (doc_id) CROSS JOIN range(500, 5001, 500) r(t) GROUP BY 1",
     "spearman_ties": "WITH o AS (SELECT o_custkey, count(*) AS x, max(month(o_orderdate)) AS y FROM orders GROUP BY 1), r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS ry FROM o) SELECT round(corr(rx, ry), 6) AS rho FROM r",

@@ -133,10 +133,14 @@ def test_combine(spark):
     assert get(combine.any_yes(df.where("unit <> 'd'"))) == {"a": "no", "b": "not_documented", "c": "not_documented"}
 
 
-def test_apportionment():
-    assert sampling.level_targets({"a": 10, "b": 30, "c": 60}, 20, {"a": 5}) == {"a": 5, "b": 5, "c": 10}
-    with pytest.raises(sampling.ShortDraw):
-        sampling.level_targets({"a": 3, "b": 9}, 5, {"a": 4})
+def test_apportionment(spark):
+    levels = lambda rows: spark.createDataFrame(rows, "level string, available long, floor long")
+    targets = lambda rows, size: {r.level: r.target for r in sampling.level_targets(levels(rows), size).collect()}
+    assert targets([("a", 10, 5), ("b", 30, None), ("c", 60, None)], 20) == {"a": 5, "b": 5, "c": 10}
+    assert targets([("a", 4, None), ("b", 4, None), ("c", 4, None), ("d", 0, None)], 5) == {"a": 2, "b": 2, "c": 1, "d": 0}
+    for rows, size in (([("a", 3, 4), ("b", 9, None)], 5), ([("a", 3, 3)], 2), ([("a", 3, 3), ("b", 1, None)], 5)):
+        with pytest.raises(sampling.ShortDraw):
+            sampling.level_targets(levels(rows), size)
     assert sampling.water_fill({"x": 2, "y": 50, "z": 50}, {"x": 1000, "y": 30, "z": 10}, 10) == {"x": 2, "y": 6, "z": 2}
     with pytest.raises(sampling.ShortDraw):
         sampling.water_fill({"x": 2}, {"x": 1}, 3)

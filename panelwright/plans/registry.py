@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import content, evidence, panel, reports
+from . import consolidated, content, evidence, panel, reports
 
-QUERIES = {**reports.QUERIES, **content.QUERIES, **panel.QUERIES, **evidence.QUERIES}
-ORACLES = {**reports.ORACLES, **content.ORACLES, **panel.ORACLES, **evidence.ORACLES}
+MODULES = (reports, content, panel, evidence, consolidated)
+QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
+ORACLES = {name: statement for m in MODULES for name, statement in m.ORACLES.items()}

@@ -156,7 +156,5 @@ SUFFIXES = (
 def registrable_domain(url_or_host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
     """The label before the longest known public suffix, with it; a single label or an address in numbers stays as it is."""
     host = F.regexp_replace(F.coalesce(site_host(url_or_host), F.lower(url_or_host)), ":[0-9]+$", "")
-    labels = F.split(host, r"\.")
-    n = F.size(labels)
-    last = lambda k: F.array_join(F.slice(labels, F.greatest(n - k + 1, F.lit(1)), F.least(n, F.lit(k))), ".")
-    return F.when((n <= 2) | host.rlike(r"^[0-9.]+$"), host).when(last(2).isin(*suffixes), last(3)).otherwise(last(2))
+    known = "|".join(x.replace(".", r"\.") for x in suffixes)
+    return F.when(host.rlike(r"^[^.]*$|^[0-9.]+$"), host).otherwise(F.regexp_extract(host, rf"([^.]+\.(?:{known}|[^.]+))$", 1))

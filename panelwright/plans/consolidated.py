@@ -244,7 +244,7 @@ ORACLES = {
     "speculative_activities": SIGNALS + " SELECT inst, activity_id FROM sig WHERE spec",
     "merged_chunk_institutions": MERGED + ", r AS (SELECT *, CASE verdict WHEN 'yes' THEN 2 WHEN 'unclear' THEN 1 ELSE 0 END AS r FROM chunk) SELECT inst, ['no', 'unclear', 'yes'][max(r) + 1] AS verdict, arg_max(summary, (r, n_rows, -chunk)) AS summary, count(*) AS n_chunks FROM r GROUP BY 1",
     "merged_chunk_activities": MERGED + ", c AS (SELECT inst, number, count(*) AS n_sources FROM kept GROUP BY 1, 2) SELECT inst, 'A' || number AS activity_id, activity_name, tool, vendor, ['low', 'medium', 'high'][c] AS confidence, CASE WHEN len(fl) = 0 THEN 'none' ELSE array_to_string(fl, ';') END AS flags, coalesce(n_sources, 0) AS n_sources FROM num LEFT JOIN c USING (inst, number)",
-    "merged_chunk_sources": MERGED + " SELECT inst, 'S' || row_number() OVER (PARTITION BY inst ORDER BY chunk, pos) AS source_id, coalesce('A' || number, '_NA_') AS activity_id, url, snippet FROM kept",
+    "merged_chunk_sources": MERGED + " SELECT inst, 'S' || row_number() OVER (PARTITION BY inst ORDER BY chunk, pos, url, snippet) AS source_id, coalesce('A' || number, '_NA_') AS activity_id, url, snippet FROM kept",
     "verdict_rules_v25": _verdict(_OLD),
     "verdict_rules_v27": _verdict(_NEW),
     "link_rules_v25": _links("false"),

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import consolidated, content, evidence, panel, reports
+from . import consolidated, content, evidence, panel, predicates, reports
 
-MODULES = (reports, content, panel, evidence, consolidated)
+MODULES = (reports, content, panel, evidence, consolidated, predicates)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: statement for m in MODULES for name, statement in m.ORACLES.items()}

@@ -10,11 +10,14 @@ every link. A pair that meets in a key must keep the chain's budgets before
 its whole distance is counted.
 
 Scale: equal fingerprints are one row from the start, with a map-side minimum.
-A key's pivot is a map-side minimum too, so a key that a large group shares
-gathers no rows; plain joins with the table of shared keys, which adaptive
-execution splits, test all against their pivot. Only pairs whose components
-still differ meet in a further join, so a dense group of near copies costs
-links to pivots, not all its pairs.
+Keys that only one fingerprint has are dropped in the shuffle that builds
+them. Inside a key all are first tested against one pivot; only in keys whose
+components still differ do pairs meet in a join, so a dense group of near
+copies costs links to pivots, not all its pairs. A key that a large group
+shares would gather it in one task, so such keys are looked for in a sample
+(one fingerprint in HOT_SAMPLE; at most HOT_MOST keys a slot, a fixed bound)
+and get their pivots by map-side minima and a broadcast instead. The sample
+only chooses the way; either way finds the same links.
 """
 
 from __future__ import annotations
@@ -24,13 +27,14 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import components
 from .common import cut, sliced, written
 
 SHINGLE, SEED, MOST = 4, 42, 4
+HOT_SAMPLE, HOT_LEAST, HOT_MOST = 16, 32, 2000
 WIDTHS = (6, 6, 6, 6, 7, 6, 6, 7, 7, 7)
 #: Of the chain's segments 2 to 6, pairs of which one always agrees.
 PAIRS = ((2, 3), (2, 4), (2, 5), (3, 4), (3, 5))
@@ -98,13 +102,21 @@ def linked(prints: DataFrame) -> DataFrame:
     """(fp, root) for the distinct fingerprints that have a link; root names the component."""
     keys = [F.struct(F.lit(s * len(PAIRS) + k).alias("slot"), F.col("fp").bitwiseAND(F.lit(_mask(s, (0, 1, *pair))).cast("long")).alias("key")) for s in range(len(WIDTHS)) for k, pair in enumerate(PAIRS)]
     start = (F.col("slot") / len(PAIRS)).cast("int")
-    keyed = prints.select("fp", F.explode(F.array(*keys)).alias("at")).select("fp", "at.slot", "at.key")
-    pivots = written(keyed.groupBy("slot", "key").agg(F.min("fp").alias("pivot"), F.max("fp").alias("last")).where("pivot < last").drop("last"), "keys")
-    shared = cut(keyed.join(pivots, ["slot", "key"]))
+    keyed = lambda rows: rows.select("fp", F.explode(F.array(*keys)).alias("at")).select("fp", "at.slot", "at.key")
+    sampled = cut(prints.where(F.pmod(F.xxhash64("fp"), F.lit(HOT_SAMPLE)) == 0).select("fp"))
+    enough = max(HOT_LEAST, sampled.count() // HOT_MOST)
+    hot = written(keyed(sampled).groupBy("slot", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= enough).select("slot", "key"), "hot")  # HOT_MOST rows a slot at most
+    pivots = written(keyed(prints).join(F.broadcast(hot), ["slot", "key"]).groupBy("slot", "key").agg(F.min("fp").alias("pivot")), "pivots")
+    group = Window.partitionBy("slot", "key")
+    cold = keyed(prints).join(F.broadcast(hot), ["slot", "key"], "left_anti").withColumn("pivot", F.min("fp").over(group)).withColumn("last", F.max("fp").over(group)).where("pivot < last").drop("last")
+    shared = cut(cold.select("slot", "key", "fp", "pivot").union(keyed(prints).join(F.broadcast(pivots), ["slot", "key"]).select("slot", "key", "fp", "pivot")))
     stars = shared.where(F.col("fp") > F.col("pivot")).where(_near(F.col("fp"), F.col("pivot"), start)).select(F.col("fp").alias("u"), F.col("pivot").alias("v")).distinct()
     stars = cut(stars)
     known = cut(components(stars))
     placed = shared.join(known.withColumnRenamed("node", "fp"), "fp", "left").select("slot", "key", "fp", F.coalesce("root", "fp").alias("comp"))
+    placed = cut(placed)
+    mixed = placed.groupBy("slot", "key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("slot", "key")
+    placed = cut(placed.join(mixed, ["slot", "key"], "left_semi"))
     a, b = placed.alias("a"), placed.alias("b")
     met = (F.col("a.slot") == F.col("b.slot")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & (F.col("a.comp") != F.col("b.comp"))
     across = a.join(b, met & _near(F.col("a.fp"), F.col("b.fp"), (F.col("a.slot") / len(PAIRS)).cast("int"))).select(F.col("a.comp").alias("u"), F.col("b.comp").alias("v"))

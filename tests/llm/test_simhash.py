@@ -4,6 +4,7 @@ import random
 import re
 from itertools import combinations
 
+import pytest
 import xxhash
 from panelwright.llm import queries, simhash
 from panelwright.operators.components import components
@@ -54,8 +55,10 @@ def test_every_link_has_a_key():
         assert any(differ & m == 0 and all((differ & simhash._mask(s, range(n)) % (1 << 64)).bit_count() <= most for n, most in simhash.BUDGETS) for s, m in masks)
 
 
-def test_components_on_made_fingerprints(spark):
-    """Chains, dense groups and lone fingerprints against brute force."""
+@pytest.mark.parametrize("least", [32, 1])
+def test_components_on_made_fingerprints(spark, monkeypatch, least):
+    """Chains, dense groups and lone fingerprints against brute force, with few and with many keys taken for hot."""
+    monkeypatch.setattr(simhash, "HOT_LEAST", least)
     rng = random.Random(4)
     prints, at = {}, 0
     for size, step in ((60, 3), (40, 4), (200, 1), (30, 0)):

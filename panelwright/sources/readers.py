@@ -71,15 +71,33 @@ def shard_census(spark: SparkSession, path: str) -> DataFrame:
     return listed.groupBy(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("shard")).agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
 
 
+@F.pandas_udf(T.BooleanType())
+def is_docx(content):
+    """The body is a ZIP package that holds a DOCX document part; only bodies with a ZIP signature are opened."""
+    import io
+    import zipfile
+
+    def test(data):
+        if not data or not bytes(data[:4]) == b"PK\x03\x04":
+            return False
+        try:
+            with zipfile.ZipFile(io.BytesIO(data)) as packed:
+                return "word/document.xml" in packed.namelist()
+        except (zipfile.BadZipFile, ValueError, OSError):
+            return False
+
+    return content.map(test)
+
+
 def kind_of(content: Column, content_type: Column, url: Column) -> Column:
-    """Route of a fetched body: by its first bytes, then its declared type, then its URL."""
-    head = F.substring(content, 1, 4)
-    return (
-        F.when(head == F.lit(b"%PDF"), "pdf")
-        .when((head == F.lit(b"PK\x03\x04")) & (F.lower(content_type).contains("officedocument") | F.lower(url).endswith(".docx")), "docx")
-        .when(F.lower(content_type).contains("pdf") | F.lower(url).endswith(".pdf"), "pdf")
-        .otherwise("html")
-    )
+    """Route of a fetched body: pdf or docx by its bytes, else pdf by its declared type or its URL, else html.
+
+    A PDF's mark stands in the first 1024 bytes with no "<" before it.
+    """
+    head = F.decode(F.substring(content, 1, 1024), "ISO-8859-1")
+    pdf = F.coalesce(head.contains("%PDF-") & ~F.substring_index(head, "%PDF-", 1).contains("<"), F.lit(False))
+    declared = F.coalesce(F.lower(content_type).contains("pdf"), F.lit(False)) | F.coalesce(F.lower(url).endswith(".pdf"), F.lit(False))
+    return F.when(pdf, "pdf").when(is_docx(content), "docx").when(declared, "pdf").otherwise("html")
 
 
 @F.pandas_udf(T.StringType())

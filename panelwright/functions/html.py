@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from html.parser import HTMLParser
 from urllib.parse import unquote, urldefrag, urljoin
 
@@ -121,3 +122,92 @@ def email_links(pages: DataFrame, key: str = "page_id", html: str = "html") -> D
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], ["key", "emails"])
 
     return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, emails array<string>")
+
+
+# Names of date metadata, by the tag they count as.
+DATE_NAMES = {
+    "citation_publication_date": "citation_publication_date", "article:published_time": "article:published_time",
+    "dc.date.issued": "dcterms.issued", "dcterms.issued": "dcterms.issued",
+}
+SCHEMA_TAG, SCHEMA_HOSTS = "schema.org datePublished", ("http://schema.org/", "https://schema.org/", "http://www.schema.org/", "https://www.schema.org/")
+
+
+class _Dates(HTMLParser):
+    """Date metadata in document order; a microdata element's text is known only where it closes, so its place is kept."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.found: list[list] = []  # tag, found_as, raw
+        self.open: list[tuple[str, bool | None, list | None]] = []  # tag, whether its scope is on schema.org, the entry that takes its text
+        self.script: list[str] | None = None
+
+    def handle_starttag(self, tag, attrs):
+        at = {k: v or "" for k, v in reversed(attrs)}
+        if tag == "meta":
+            for name in dict.fromkeys(DATE_NAMES.get(at.get(a, "").strip().lower()) for a in ("name", "property")):
+                if name:
+                    self.found.append([name, "meta", at.get("content", "")])
+        if tag == "script" and at.get("type", "").split(";")[0].strip().lower() == "application/ld+json":
+            self.script = []
+        scope = any(t.lower().startswith(SCHEMA_HOSTS) for t in at.get("itemtype", "").split()) if "itemscope" in at else None
+        entry = None
+        if "datePublished" in at.get("itemprop", "").split() and next((s for _, s, _ in reversed(self.open) if s is not None), False):
+            entry = [SCHEMA_TAG, "microdata", at.get("content", "") if tag == "meta" else at.get("datetime") if tag == "time" else None]
+            self.found.append(entry)
+            entry = entry if entry[2] is None else None
+            if entry is not None:
+                entry[2] = ""
+        if tag not in VOID:
+            self.open.append((tag, scope, entry))
+
+    def handle_data(self, data):
+        if self.script is not None:
+            self.script.append(data)
+        for _, _, entry in self.open:
+            if entry is not None:
+                entry[2] += data.strip()
+
+    def handle_endtag(self, tag):
+        if tag == "script" and self.script is not None:
+            self.found += [[SCHEMA_TAG, "json-ld", value] for value in _json_dates("".join(self.script))]
+            self.script = None
+        for k in range(len(self.open) - 1, -1, -1):
+            if self.open[k][0] == tag:
+                del self.open[k:]
+                break
+
+
+def _json_dates(text: str) -> list[str]:
+    """datePublished of the nodes of a JSON-LD document and of those right under their @graph."""
+    try:
+        whole = json.loads(text)
+    except ValueError:
+        return []
+    listed = lambda x: x if isinstance(x, list) else [x]
+    nodes = [n for top in listed(whole) if isinstance(top, dict) for n in (top, *listed(top.get("@graph"))) if isinstance(n, dict)]
+    values = [v.get("@value") if isinstance(v, dict) else v for n in nodes if "datePublished" in n for v in listed(n["datePublished"])]
+    return ["" if v is None else str(v) for v in values]
+
+
+def date_candidates(html: str) -> list[tuple[str, str, str]]:
+    """(tag, found_as, raw) of a page's date metadata: meta elements, JSON-LD and schema.org microdata, in document order."""
+    page = _Dates()
+    page.feed(html)
+    page.close()
+    return [(tag, how, raw) for tag, how, raw in page.found]
+
+
+def dates(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """(key, place, tag, found_as, raw, value): one row per date signal, with its ISO value where it is one; a null page has none."""
+    from .dates import normalise_iso
+
+    rows = pages.select(F.col(key).alias("key"), F.col(html).alias("html"))
+
+    def run(batches):
+        for batch in batches:
+            found = [(k, place, *c) for k, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for place, c in enumerate(date_candidates(h or ""), 1)]
+            columns = list(zip(*found)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.schema.field(0).type), pa.array(columns[1], pa.int32()), *(pa.array(c, pa.string()) for c in columns[2:])], ["key", "place", "tag", "found_as", "raw"])
+
+    out = rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, place int, tag string, found_as string, raw string")
+    return out.withColumn("value", normalise_iso(F.col("raw")))

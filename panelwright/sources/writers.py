@@ -59,3 +59,67 @@ def expanded(df: DataFrame, legacy: list[str], added: list[str]) -> DataFrame:
 def sha256sums(df: DataFrame, name: str, content: str) -> DataFrame:
     """Lines as sha256sum -c reads them."""
     return df.select(F.format_string("%s  %s", F.sha2(F.col(content), 256), F.col(name)).alias("value"))
+
+
+def write_snapshot_csv(df: DataFrame, path: str, at: str, key: str = "uid") -> None:
+    """The snapshot as CSV sorted by its key, with a '# snapshot_at=' line; see readers.snapshot_csv.
+
+    The line, and the header again, stand in a file of their own beside the rows: no one task has to write them all.
+    """
+    write_csv(df, path, df.columns, [key])
+    stamp = df.sparkSession.createDataFrame([(f"# snapshot_at={at}\n" + ",".join(df.columns),)], "value string")
+    stamp.coalesce(1).write.mode("append").text(path)
+
+
+def write_json_lines(df: DataFrame, path: str, overwrite: bool = False) -> None:
+    """One JSON object per line, nulls written; an existing folder is kept unless told otherwise."""
+    df.write.mode("overwrite" if overwrite else "errorifexists").option("ignoreNullFields", False).json(path)
+
+
+def write_artifacts(df: DataFrame, path: str) -> None:
+    """JSON lines, each file gzipped; a file is there as a whole or not at all (Spark's commit)."""
+    df.write.option("compression", "gzip").json(path)
+
+
+def write_in_draw_order(frame: DataFrame, path: str, columns: list[str]) -> None:
+    """A frame as CSV in draw order: files, and rows in them, ascend by draw_pos."""
+    write_csv(frame, path, columns, ["draw_pos"])
+
+
+def write_report(rows: DataFrame, path: str, key: str) -> None:
+    """Outcomes as path/jsonl and path/csv, each key once."""
+    one_row_per(rows, key)
+    write_json_lines(rows, f"{path}/jsonl")
+    write_csv(rows, f"{path}/csv", rows.columns, [key])
+
+
+def inventory(files: DataFrame, shards: DataFrame, run_id: str) -> DataFrame:
+    """Lines of a bundle's inventory, as JSON: one for the run, one per shard (shard, files, bytes), one per file (path, bytes, sha256)."""
+    whole = shards.agg(F.lit(run_id).alias("run_id"), F.count(F.lit(1)).alias("n_shards"), F.sum("bytes").alias("bytes"))
+    kinds = (("run", whole), ("shard", shards), ("file", files))
+    lines = [df.select(F.to_json(F.struct(F.lit(kind).alias("kind"), *df.columns)).alias("value")) for kind, df in kinds]
+    return lines[0].union(lines[1]).union(lines[2])
+
+
+def write_run(path: str, version: int, tables: dict[str, tuple[DataFrame, list[str], list[str]]], checks: dict[str, DataFrame], overwrite: bool = False) -> None:
+    """A run's tables as path/<name>_v<version>.csv: name -> (rows, columns in order, sort columns).
+
+    Nothing is written where a check (name -> offending rows) finds a row, or
+    where any of the tables is there already, unless told to overwrite.
+    """
+    broken = [name for name, bad in checks.items() if not bad.isEmpty()]
+    if broken:
+        raise Refused(f"integrity: {broken}")
+    spark = next(iter(tables.values()))[0].sparkSession
+    where = {name: f"{path}/{name}_v{version}.csv" for name in tables}
+    if not overwrite:
+        there = [w for w in where.values() if exists(spark, w)]
+        if there:
+            raise Refused(f"already written: {there}")
+    for name, (rows, columns, sort) in tables.items():
+        write_csv(without_nul(rows).drop("nul_cells"), where[name], columns, sort, overwrite)
+
+
+def exists(spark, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)

@@ -46,6 +46,20 @@ def held_out(id_col: str, modulus: int, remainder: int):
     return (digest % F.lit(modulus)) == F.lit(remainder)
 
 
+#: Rows and bytes of an Arrow batch, on either side of a Python worker.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", BATCH_ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", BATCH_BYTES)}
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same rows; from now on its session sends texts to Python in batches of bounded size, where the user has set no other."""
+    conf = df.sparkSession.conf
+    for key, (default, ours) in _BATCHES.items():
+        if conf.get(key, default) == default:
+            conf.set(key, str(ours))
+    return df
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """The batches in slices of so many rows, so that Python objects of few texts are alive at a time.
 
@@ -72,4 +86,4 @@ def kept_where(docs: DataFrame, text_col: str, make: Callable[[], Callable[[list
         for batch in sliced(batches):
             yield batch.filter(pa.array(test([t or "" for t in batch.column(place).to_pylist()]), pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return small_batches(docs).mapInArrow(keep, docs.schema)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept_where, sliced
+from .common import kept_where, sliced, small_batches
 
 GRAM, MIN_WORDS, COVERAGE, BLOCK_ITEMS, BLOCK_BYTES = 3, 5, 0.8, 20_000, 16 << 20
 #: Alignment scores of an equal word, a word with the same beginning, another word, a gap.
@@ -225,7 +225,7 @@ def _frequencies(texts: DataFrame, items: Items) -> dict[int, int]:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(items.codes[some]), pa.array(total[some])], ["code", "n"])
 
-    rows = texts.mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    rows = small_batches(texts).mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
     return {r["code"]: r["n"] for r in rows.collect()}  # at most the block's n-grams
 
 
@@ -259,7 +259,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keys: list[Column], tex
       own; an empty table of documents gives no rows, an empty benchmark
       contaminates none; other columns are not read.
     """
-    rows = docs.select(*keys, text.alias("text_"))
+    rows = small_batches(docs).select(*keys, text.alias("text_"))
     names = rows.columns[:-1]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     parts = []

@@ -48,7 +48,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced, written
+from .common import sliced, small_batches, written
 from .mixing import BITS, MAP_STEPS, Code, Counts, Mixer, packed, refinement
 
 TOP, RATES, REMEMBERED = 300_000, (30.0, 150.0, 700.0, 4000.0), 150_000
@@ -90,7 +90,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
                     yield flushed()
         yield flushed()
 
-    return texts.mapInArrow(count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return small_batches(texts).mapInArrow(count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def _columns(batches):
@@ -296,7 +296,7 @@ def score(docs: DataFrame, model: Model, words: DataFrame, keys: list[Column], t
     a null ``learned`` counts as false; repeated rows are rows of their own;
     an empty table gives no rows; other columns are not read.
     """
-    rows = docs.select(*keys, text.alias("text_"), F.coalesce(F.lit(False) if learned is None else learned, F.lit(False)).alias("learned_"))
+    rows = small_batches(docs).select(*keys, text.alias("text_"), F.coalesce(F.lit(False) if learned is None else learned, F.lit(False)).alias("learned_"))
     names = rows.columns[:-2]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-2])
 

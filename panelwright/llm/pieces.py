@@ -29,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced
+from .common import sliced, small_batches
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters in one suffix array; stretches and pairs remembered by a worker; the longest stretch relaxed in step with others.
 INDEXED, REMEMBERED, TOGETHER = 1 << 18, 150_000, 48
+#: Bytes of stretches and their ids that a worker remembers in each of two generations.
+REMEMBERED_BYTES = 8 << 20
 _STRETCH, _LINE_STRETCH = re.compile(r" *[^ ]+| +"), re.compile(r" *[^ \n]+| +|\n")
 
 
@@ -89,11 +91,14 @@ class Encoder:
         self.v = vocabulary
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.held = 0
         self.follows: dict[tuple[int, int], bool] = {}
         self.tags, self.answers = np.full(1 << 20, -1, np.int64), np.zeros(1 << 20, bool)
         self.whole = frozenset(vocabulary.pieces)
         self.sizes = np.array([len(p) for p in vocabulary.pieces])
         self.longest = int(self.sizes.max())
+        if self.longest > 63 or max(vocabulary.id_of.values()) >= 1 << 18:
+            raise ValueError("pieces of up to 63 characters and ids under 2^18 fit the packed edges")
         self.ids = np.array([vocabulary.id_of[p] for p in vocabulary.pieces])
         self.spelled = np.zeros((len(self.sizes), self.longest), np.int64)
         for row, piece in zip(self.spelled, vocabulary.pieces):
@@ -237,20 +242,22 @@ class Encoder:
                 else:
                     ids.append(last[at])
                 at = back[at]
-            self.known[stretch] = np.array(ids[::-1], np.int32).tobytes()
+            self.known[stretch] = code = np.array(ids[::-1], np.int32).tobytes()
+            self.held += 4 * len(stretch) + len(code)
 
     # Texts -----------------------------------------------------------------------
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Per text its ids as 32-bit integers; an empty text has none."""
-        if len(self.known) > REMEMBERED:  # two generations: what was used lately stays
-            self.older, self.known = self.known, {}
+        if len(self.known) > REMEMBERED or self.held > REMEMBERED_BYTES:  # two generations: what was used lately stays
+            self.older, self.known, self.held = self.known, {}, 0
         known, cut = self.known, [self.v.stretch.findall(" " + t) if t else [] for t in texts]
         new = {s for parts in cut for s in parts if s not in known}
         batch, held = [], 0
         for s in new:
             if s in self.older:
                 known[s] = self.older[s]
+                self.held += 4 * len(s) + len(known[s])
                 continue
             batch.append(s)
             held += len(s) + 1
@@ -286,7 +293,7 @@ def encode(docs: DataFrame, keys: list[Column], text: Column, model_path: str =
     no rows; other columns are not read.
     """
     vocabulary = Vocabulary(model_path)
-    rows = docs.select(*keys, text.alias("text_"))
+    rows = small_batches(docs).select(*keys, text.alias("text_"))
     names = rows.columns[:-1]
 
     def coded(batches):

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import sliced
+from .common import sliced, small_batches
 from .trees import BoostedTrees
 
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -286,7 +286,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
                 names.append("redacted")
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types)], names)
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(score, SCHEMA + (", redacted string" if with_redacted else ""))
+    return small_batches(docs).select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(score, SCHEMA + (", redacted string" if with_redacted else ""))
 
 
 def without_pii(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
@@ -311,4 +311,4 @@ def without_pii(docs: DataFrame, text_col: str = "text", chars_col: str | None =
                 columns[chars] = pa.array([n if t is None else len(t) for t, n in zip(texts, own)], batch.schema.field(chars).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(redact, docs.schema)
+    return small_batches(docs).mapInArrow(redact, docs.schema)

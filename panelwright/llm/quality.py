@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced
+from .common import sliced, small_batches
 
 FIT_ROWS, BITS, STEPS, RATE, L2 = 8_000, 18, 240, 0.05, 1e-4
 _NOT_LETTERS = bytes(b for b in range(128) if not chr(b).isalpha() and b != 32)
@@ -143,7 +143,7 @@ def score(docs: DataFrame, model: Model, keys: list[Column], text: Column) -> Da
     Null texts count as empty; repeated rows are rows of their own; an empty
     table gives no rows; other columns are not read.
     """
-    rows = docs.select(*keys, text.alias("text_"))
+    rows = small_batches(docs).select(*keys, text.alias("text_"))
     names = rows.columns[:-1]
 
     def scored(batches):

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .common import cut, sliced, written
+from .common import cut, sliced, small_batches, written
 
 SHINGLE, SEED, MOST = 4, 42, 4
 HOT_SAMPLE, HOT_LEAST, HOT_MOST = 16, 32, 2000
@@ -75,7 +75,7 @@ def fingerprint(text: bytes) -> int:
 
 def fingerprints(docs: DataFrame, keys: list[Column], text: Column) -> DataFrame:
     """The key columns and fp (long). Null texts count as empty."""
-    rows = docs.select(*keys, text.alias("text_"))
+    rows = small_batches(docs).select(*keys, text.alias("text_"))
     names = rows.columns[:-1]
 
     def score(batches):

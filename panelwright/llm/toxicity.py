@@ -12,7 +12,7 @@ labelled rows, turns them into a calibrated score.
 
 Fitting reads at most FIT_ROWS labelled rows, the least by hash of the id: a
 documented bound that does not grow with the input. Of several texts under one
-id the least counts. Near copies in it count once (by the least and greatest
+id that with the least digest counts. Near copies in it count once (by the least and greatest
 hash of five-word shingles; the least id stays), else a passage that was
 copied often would pass for an insult. A learned pattern must be in a share
 MIN_SHARE of the toxic rows, which bounds how many there can be.
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept_where, sliced, written
+from .common import kept_where, sliced, small_batches, written
 
 FIT_ROWS, MIN_SUPPORT, MIN_SHARE, MIN_LOG_ODDS = 12_000, 6, 0.01, 2.0
 PREFIXES = (6, 5, 4)
@@ -209,15 +209,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     ``words``: the closed classes (THREAT, TARGET, NEGATION, REPORT, INTENT), each as words between blanks.
     """
     chosen = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id_"), F.col(label_col).cast("int").alias("label_")).distinct().orderBy(F.xxhash64("id_"), "id_", "label_").limit(FIT_ROWS)
-    told = docs.select(F.col(id_col).alias("id_"), F.coalesce(F.col(text_col), F.lit("")).alias("text_")).join(F.broadcast(chosen), "id_")  # at most FIT_ROWS rows of two numbers
-    sample = written(told.groupBy("id_", "label_").agg(F.min("text_").alias("text_")), "toxicity")
+    told = small_batches(docs).select(F.col(id_col).alias("id_"), F.coalesce(F.col(text_col), F.lit("")).alias("text_")).join(F.broadcast(chosen), "id_")  # at most FIT_ROWS rows of two numbers
+    sample = written(told.withColumn("digest_", F.md5("text_")).withColumn("place_", F.monotonically_increasing_id()), "toxicity")
 
     def hashed(batches):
         for batch in sliced(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([near_hash(t) for t in batch.column(2).to_pylist()], pa.int64()), *batch.columns], ["near", "id_", "label_", "text_"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([near_hash(t) for t in batch.column(4).to_pylist()], pa.int64())], ["id_", "label_", "digest_", "place_", "near"])
 
+    # Only numbers and digests are dealt out; then the places of the chosen rows, FIT_ROWS at most, go back to the texts.
     id_type = sample.schema["id_"].dataType.simpleString()
-    alone = sample.mapInArrow(hashed, f"near long, id_ {id_type}, label_ int, text_ string").groupBy("near", "label_").agg(F.min(F.struct("id_", "text_"))["text_"].alias("text_"))
+    narrow = sample.select("id_", "label_", "digest_", "place_", "text_").mapInArrow(hashed, f"id_ {id_type}, label_ int, digest_ string, place_ long, near long")
+    single = narrow.groupBy("id_", "label_").agg(F.min(F.struct("digest_", "place_", "near")).alias("one"))
+    places = single.groupBy("one.near", "label_").agg(F.min(F.struct("id_", "one.place_"))["place_"].alias("place_")).select("place_")
+    alone = sample.join(F.broadcast(places), "place_", "left_semi")
 
     def counted(batches):
         for batch in sliced(batches):
@@ -258,7 +262,7 @@ def score(docs: DataFrame, model: Model, keys: list[Column], text: Column) -> Da
     rows are rows of their own; an empty table gives no rows; other columns,
     whatever their names, are not read.
     """
-    rows = docs.select(*keys, text.alias("text_"))
+    rows = small_batches(docs).select(*keys, text.alias("text_"))
     names = rows.columns[:-1]
 
     def scored(batches):

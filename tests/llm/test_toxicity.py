@@ -172,8 +172,8 @@ def test_repeated_ids_do_not_widen_the_sample(spark):
     assert model.patterns == again.patterns and np.allclose(model.weights, again.weights)
     from panelwright.llm import common
 
-    sample = next(path for _, path in common._WRITTEN[::-1] if "/toxicity-" in path)
-    assert spark.read.parquet(sample).count() == 29
+    patterns = next(path for _, path in common._WRITTEN[::-1] if "/patterns-" in path)
+    assert spark.read.parquet(patterns).where("pattern = '\n'").first().n == 2  # one toxic text, and one of all copies of the clean one
 
 
 def test_closed_classes_can_be_replaced():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,20 +11,30 @@ def greedy_chunks(items: DataFrame, group: str, order: str, size: str, budget: i
     """(group, order, chunk): items of a group, in order, packed into chunks (from 0) within a size budget and a count.
 
     A new chunk starts where the next item would break a limit; an item over
-    the budget stands alone. The fold runs over one sorted array of (order,
-    size) pairs per group, JVM-side.
+    the budget stands alone; a null size is none. Packing is a walk along each
+    group, so a task streams over its sorted (group, order, size) rows and
+    holds one running chunk, however long the group is.
     """
-    start = F.struct(F.lit(0).alias("chunk"), F.lit(0).cast("long").alias("used"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
-    limit = most or (1 << 30)
-
-    def add(acc: Column, item: Column) -> Column:
-        over = (acc["n"] > 0) & ((acc["used"] + item["s"] > budget) | (acc["n"] >= limit))
-        chunk = acc["chunk"] + F.when(over, 1).otherwise(0)
-        return F.struct(chunk.alias("chunk"), F.when(over, item["s"]).otherwise(acc["used"] + item["s"]).alias("used"), F.when(over, 1).otherwise(acc["n"] + 1).alias("n"), F.concat(acc["out"], F.array(chunk)).alias("out"))
-
-    rows = items.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("s")))).alias("items"))
-    placed = rows.select(group, "items", F.aggregate("items", start, add, lambda acc: acc["out"]).alias("chunks"))
-    return placed.select(group, F.explode(F.arrays_zip(F.col("items.o").alias("o"), F.col("chunks").alias("c"))).alias("z")).select(group, F.col("z.o").alias(order), F.col("z.c").alias("chunk"))
+    rows = items.select(F.col(group).alias("group"), F.col(order).alias("order"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("size"))
+    kinds = [rows.schema[c].dataType.simpleString() for c in ("group", "order")]
+    limit = most or (1 << 62)
+
+    def walk(batches):
+        held, chunk, used, n = None, 0, 0, 0
+        started = False
+        for batch in batches:
+            groups, out = batch.column(0).to_pylist(), []
+            for own, s in zip(groups, batch.column(2).to_pylist()):
+                if not started or own != held:
+                    held, chunk, used, n, started = own, 0, 0, 0, True
+                if n and (used + s > budget or n >= limit):
+                    chunk, used, n = chunk + 1, 0, 0
+                used, n = used + s, n + 1
+                out.append(chunk)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int32())], ["group", "order", "chunk"])
+
+    placed = rows.repartition("group").sortWithinPartitions("group", "order", "size").mapInArrow(walk, f"`group` {kinds[0]}, `order` {kinds[1]}, chunk int")
+    return placed.select(F.col("group").alias(group), F.col("order").alias(order), "chunk")
 
 
 # Tokens per UTF-8 byte by script are parameters of the estimate.
@@ -43,10 +54,10 @@ def chunk_pages(pages: DataFrame, key: str, text: str, chars: int) -> DataFrame:
     """(key, part, start, end, text): each page cut after white space into parts of at most ``chars`` characters; joined again they are the page."""
     pieces = F.regexp_extract_all(F.col(text), F.lit(rf"(?s)(.{{1,{chars}}}(?:\s|$)|.{{1,{chars}}})"), 1)
     pieces = F.filter(pieces, lambda p: p != "")
-    starts = F.aggregate(pieces, F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(p))))
-    rows = pages.select(key, pieces.alias("p"), starts.alias("s")).select(key, F.posexplode("p").alias("at", "piece"), "s")
-    begin = F.get(F.col("s"), F.col("at"))
-    return rows.select(key, (F.col("at") + 1).alias("part"), begin.alias("start"), (begin + F.length("piece")).alias("end"), F.col("piece").alias("text"))
+    each = pages.select(key, pieces.alias("p")).select(key, F.posexplode("p").alias("at", "piece"), F.transform("p", lambda p: F.length(p)).alias("sizes"))
+    # Parts are full but for the last, so a part's start is a short sum: pages of up to chars parts stay cheap.
+    begin = F.aggregate(F.slice("sizes", F.lit(1), F.col("at")), F.lit(0), lambda acc, n: acc + n)
+    return each.select(key, (F.col("at") + 1).alias("part"), begin.alias("start"), (begin + F.length("piece")).alias("end"), F.col("piece").alias("text"))
 
 
 class OverLimit(Exception):

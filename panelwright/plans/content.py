@@ -169,9 +169,8 @@ def chunk_pages(spark, sf):
 
 
 def chunks_are_lossless(spark, sf):
-    d = _docs(spark, sf).where("text IS NOT NULL")
-    c = packing.chunk_pages(d, "doc_id", "text", 1500).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda s: s["text"]), "").alias("again"))
-    return d.join(c, "doc_id", "left").agg(F.count_if(F.coalesce("again", F.lit("")) != F.col("text")).alias("n_changed"))
+    c = packing.chunk_pages(_docs(spark, sf).where("text IS NOT NULL"), "doc_id", "text", 1500)
+    return c.groupBy("doc_id").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda s: s["text"]), "")).alias("again"))
 
 
 def greedy_pack(spark, sf):
@@ -240,7 +239,19 @@ ORACLES = {
     "word_presence": f"WITH b AS (SELECT item_id, unnest(list_distinct({WORDS})) AS w FROM benchmark), n AS (SELECT item_id, count(*) AS n FROM b GROUP BY 1), d AS (SELECT doc_id, lang, unnest(list_distinct({WORDS})) AS w FROM documents WHERE n_chars < 3000), k AS (SELECT item_id, lang, doc_id, count(*) AS k FROM d JOIN b USING (w) GROUP BY 1, 2, 3) SELECT item_id, lang, round(max(k / n), 4) AS presence FROM k JOIN n USING (item_id) GROUP BY 1, 2",
     "quote_window": "WITH q AS (SELECT doc_id, text, instr(text, substr(text, 301, 40)) AS pos FROM documents WHERE length(text) > 400) SELECT doc_id, md5(substr(text, greatest(pos - 50, 1), 40 + (pos - greatest(pos - 50, 1)) + 50)) AS \"window\" FROM q",
     "token_estimate": "SELECT lang, CAST(sum(ceil(strlen(coalesce(text, '')) * 0.25 - 1e-9)) AS BIGINT) AS tokens FROM documents GROUP BY 1",
-    "chunks_are_lossless": "SELECT CAST(0 AS BIGINT) AS n_changed",
+    "chunks_are_lossless": "SELECT doc_id, md5(text) AS again FROM documents WHERE text <> ''",
+    "chunk_pages": r"WITH p AS (SELECT doc_id, regexp_extract_all(text, '(?s)(?:.{1,750}.{0,750}(?:[\s\x0B]|$)|.{1,750}.{0,750})') AS p FROM documents WHERE text <> '') SELECT doc_id, len(p) AS parts, CAST(list_sum(list_transform(p, lambda x: length(x))) AS BIGINT) AS chars FROM p",
+    "year_candidates": "WITH t AS (SELECT coalesce(text, '') || ' in ' || (2010 + doc_id % 25) || ' and 12345, 2020.' || coalesce(' ' || lang, '') AS t FROM documents), y AS (SELECT unnest(list_filter(string_split_regex(t, '[^0-9]+'), lambda x: length(x) = 4)) AS y FROM t) SELECT CAST(y AS INTEGER) AS year, count(*) AS n FROM y WHERE y BETWEEN '2015' AND '2030' GROUP BY 1",
+    "greedy_pack": """WITH RECURSIVE o AS (SELECT source, doc_id, coalesce(n_chars, 0) AS s, row_number() OVER (PARTITION BY source ORDER BY doc_id, coalesce(n_chars, 0)) AS nth FROM documents),
+      w AS (SELECT source, doc_id, nth, 0 AS chunk, s AS used, 1 AS n FROM o WHERE nth = 1
+        UNION ALL SELECT o.source, o.doc_id, o.nth, w.chunk + CASE WHEN w.used + o.s > 20000 OR w.n >= 8 THEN 1 ELSE 0 END, CASE WHEN w.used + o.s > 20000 OR w.n >= 8 THEN o.s ELSE w.used + o.s END, CASE WHEN w.used + o.s > 20000 OR w.n >= 8 THEN 1 ELSE w.n + 1 END
+        FROM w JOIN o ON o.source IS NOT DISTINCT FROM w.source AND o.nth = w.nth + 1)
+      SELECT source, doc_id, CAST(chunk AS INTEGER) AS chunk FROM w""",
+    "keyword_proximity": r"""WITH l AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\s\x0B\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'), lambda x: x <> '') AS w FROM documents),
+      u AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM l), k AS (SELECT doc_id, i, regexp_replace(lower(w), '[^\p{L}\p{M}\p{N}_]+', '', 'g') AS w FROM u),
+      f AS (SELECT doc_id, i, CASE WHEN contains(w, 'ttion') THEN 1 WHEN contains(w, 'wher') THEN 2 END AS k FROM k WHERE contains(w, 'ttion') OR contains(w, 'wher')),
+      g AS (SELECT doc_id, k <> lag(k) OVER o AND i - lag(i) OVER o <= 30 AS hit FROM f WINDOW o AS (PARTITION BY doc_id ORDER BY i))
+      SELECT doc_id, coalesce((SELECT bool_or(hit) FROM g WHERE g.doc_id = d.doc_id), false) AS near FROM documents d""",
     "shingle_jaccard_pairs": SHINGLES + "SELECT a, b, CAST(shared AS INTEGER) AS shared, CAST(united AS INTEGER) AS united FROM pairs",
     "near_duplicate_groups": SHINGLES + ", e AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), r(key, root) AS (SELECT key, key FROM firsts UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.key) SELECT w.key AS key, CASE WHEN len(w.w) < 5 THEN w.key ELSE min(root) END AS group_key, len(w.w) < 5 AS short FROM w JOIN firsts f ON f.w = w.w JOIN r ON r.key = f.key GROUP BY w.key, w.w",
     "independence_groups": "WITH RECURSIVE s AS (SELECT doc_id AS id, CASE WHEN doc_id % 11 <> 0 THEN 'gc' || (n_chars % 997) END AS g, 'uk' || (doc_id % 613) AS u FROM documents), k AS (SELECT id, unnest([g, u]) AS k FROM s WHERE g IS NOT NULL), f AS (SELECT k, min(id) AS v FROM k GROUP BY 1), e AS (SELECT id AS a, v AS b FROM k JOIN f USING (k) UNION SELECT v, id FROM k JOIN f USING (k)), r(id, root) AS (SELECT id, id FROM s WHERE g IS NOT NULL UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id) SELECT s.id AS source_id, min(root) AS group_id FROM s LEFT JOIN r USING (id) GROUP BY 1",

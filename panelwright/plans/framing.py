@@ -36,17 +36,17 @@ def frame_sidecar(spark, sf):
 
 
 def frame_allocation(spark, sf):
-    """Forty rows of each stratum, five of them with the level MACHINERY, at most fifteen of a country."""
+    """Ten rows of each stratum, one of them with the level MACHINERY, at most six of a country."""
     cells = frames.classify_cells(*_inputs(spark, sf)).select("stratum", "country", "level", F.col("n_never").alias("n"))
     strata = cells.select("stratum").distinct()
-    return frames.allocate(cells, strata.select("stratum", F.lit(40).alias("size"), F.lit(15).alias("cap")), strata.select("stratum", F.lit("MACHINERY").alias("level"), F.lit(5).alias("floor")))
+    return frames.allocate(cells, strata.select("stratum", F.lit(10).alias("size"), F.lit(6).alias("cap")), strata.select("stratum", F.lit("MACHINERY").alias("level"), F.lit(1).alias("floor")))
 
 
 def built_frame(spark, sf):
     """The whole way: the drawn rows per stratum and level (which rows they are is the hash's choice)."""
     master, inspected, strata = _inputs(spark, sf)
     names = strata.select("stratum").distinct()
-    specs, floors = names.select("stratum", F.lit(40).alias("size"), F.lit(15).alias("cap")), names.select("stratum", F.lit("MACHINERY").alias("level"), F.lit(5).alias("floor"))
+    specs, floors = names.select("stratum", F.lit(10).alias("size"), F.lit(6).alias("cap")), names.select("stratum", F.lit("MACHINERY").alias("level"), F.lit(1).alias("floor"))
     frame, _ = frames.build_frame(master, inspected, strata, specs, floors, "uid", 5)
     return frame.join(strata, "country").groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("level") == "MACHINERY").alias("n_floor"), F.count_if(F.col("uid") % 5 == 0).alias("n_inspected"))
 
@@ -113,7 +113,7 @@ ORACLES = {
     "frame_cells": CELLS + " SELECT * FROM c",
     "cell_draw": DRAWN + " SELECT * FROM f",
     "frame_sidecar": DRAWN + ", d AS (SELECT country, level, count(*) AS drawn FROM f GROUP BY 1, 2) SELECT country, level, least(n_never, 3) AS planned, coalesce(drawn, 0) AS drawn FROM c LEFT JOIN d USING (country, level)",
-    "built_frame": ctes(s=STRATA) + "SELECT DISTINCT stratum, CAST(40 AS BIGINT) AS n, CAST(5 AS BIGINT) AS n_floor, CAST(0 AS BIGINT) AS n_inspected FROM s",
+    "built_frame": ctes(s=STRATA) + "SELECT DISTINCT stratum, CAST(10 AS BIGINT) AS n, CAST(1 AS BIGINT) AS n_floor, CAST(0 AS BIGINT) AS n_inspected FROM s",
     "frame_subset": ctes(m=MASTER) + f", t AS (SELECT * FROM m ORDER BY {_U.format(21)}, uid LIMIT 60) SELECT uid, country, level, row_number() OVER (ORDER BY {_U.format(22)}, uid) AS draw_pos FROM t",
     "stratified_subset": ctes(m=MASTER, s=STRATA) + f", t AS (SELECT m.*, stratum FROM m JOIN s USING (country) QUALIFY row_number() OVER (PARTITION BY stratum ORDER BY {_U.format(31)}, uid) <= 7) SELECT uid, country, level, stratum, row_number() OVER (ORDER BY {_U.format(32)}, uid) AS draw_pos FROM t",
     "inspection_ages": "WITH s AS (SELECT o_custkey AS uid, max(CASE WHEN o_custkey % 6 = 0 THEN NULL ELSE o_orderdate END) AS at FROM orders GROUP BY 1) SELECT uid, CAST(epoch(TIMESTAMP '2005-01-01 00:00:00') - epoch(at) AS BIGINT) AS age_seconds FROM s".replace(" AS at", " AS seen").replace("epoch(at)", "epoch(seen)"),

@@ -6,6 +6,7 @@ import atexit
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..checkpoints import shared_dir
 from ..functions import dates, html, quotes, years
@@ -93,7 +94,7 @@ def stage_durations(spark, sf):
     return readers.stage_times(spark.read.schema(f"institution_id long, stages map<string,struct<{readers.STAGE_TIME.replace(' ', ':', 1).replace(', ', ',').replace(' ', ':')}>>").json(path)).select("institution_id", "stage", "duration_seconds", "status")
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _tar_of(texts):
     import io
     import tarfile
@@ -125,7 +126,7 @@ def tar_verification(spark, sf):
     return compare(key(found), source, "key", "sha256")
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _docx_of(texts):
     import io
     import zipfile
@@ -264,7 +265,7 @@ def ascii_digits(spark, sf):
 
 def token_words(spark, sf):
     """How many words the tokens of each document's first lines are, by the plain letters alone."""
-    count = F.pandas_udf(lambda texts: texts.map(lambda t: len(quotes.word_tokens(t or ""))), "int")
+    count = F.pandas_udf(lambda texts: texts.map(lambda t: len(quotes.word_tokens(t or ""))), T.IntegerType())
     d = table(spark, sf, "part").select("p_partkey", count(F.concat(F.col("p_name"), F.lit(", it's 2 "))).alias("n"))
     return d
 

@@ -67,5 +67,5 @@ def completeness(artifacts: DataFrame) -> DataFrame:
 
 
 def most_diverged(stages: DataFrame) -> DataFrame:
-    """The stage with most divergences, the first in order on ties; stages(stage, position, n_diverged)."""
-    return stages.agg(F.max_by("stage", F.struct("n_diverged", (-F.col("position")).alias("p"))).alias("stage"), F.max("n_diverged").alias("n_diverged"))
+    """The stage with most divergences, the first in order on ties, no row where none diverged; stages(stage, position, n_diverged)."""
+    return stages.where("n_diverged > 0").orderBy(F.desc("n_diverged"), F.asc_nulls_last("position"), "stage").limit(1).select("stage", "n_diverged")

@@ -6,7 +6,7 @@ from collections import Counter
 
 import pytest
 from panelwright.functions import quotes
-from panelwright.operators import evidence
+from panelwright.operators import diff, evidence
 from panelwright.plans import registry
 
 
@@ -117,3 +117,19 @@ def test_year_candidates_reads_whole_texts(spark, tables):
     for k in range(len(texts)):
         want.update(y for y in (2010 + k % 25, 2020) if 2015 <= y <= 2030)
     assert {r.year: r.n for r in registry.QUERIES["year_candidates"](spark, sf).collect()} == want
+
+
+def test_most_diverged_stage_is_no_row_where_no_stage_diverged(spark, tables):
+    kinds = ["click", "view", "error", "signup", "purchase"]
+    rows = [(k, k // 5 % 2, kinds[k % 5], 1.0, f'{{"k": {k // 10}}}') for k in range(30)]
+    schema = "event_id long, user_id long, event_type string, value double, props string"
+    sf = tables(events=(rows, schema))
+    assert registry.QUERIES["run_deltas"](spark, sf).count() == 0
+    assert registry.QUERIES["most_diverged_stage"](spark, sf).collect() == []
+
+
+def test_most_diverged_takes_the_first_stage_on_ties(spark):
+    stages = [("c", 2, 5), ("a", 3, 5), ("b", 1, 4), ("d", None, 5)]
+    schema = "stage string, position int, n_diverged long"
+    assert list(map(tuple, diff.most_diverged(spark.createDataFrame(stages, schema)).collect())) == [("c", 5)]
+    assert diff.most_diverged(spark.createDataFrame([(s, p, 0) for s, p, _ in stages], schema)).collect() == []
